@@ -112,8 +112,8 @@ _HEADERS = 6
 _CALLER_SOURCES = 5  # one line in five carries a caller-given source
 
 
-def sample_logs(events: DataFrame) -> DataFrame:
-    """``log_id, seq, incident_id, raw_log, source`` for every event."""
+def sample_logs(events: DataFrame, *kept: str) -> DataFrame:
+    """``log_id, seq, incident_id, raw_log, source`` and ``kept`` for every event."""
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     small = (eid + uid) % 250
 
@@ -139,9 +139,10 @@ def sample_logs(events: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("  worker-"), svc, F.lit(" | "), level, F.lit(": "), message, F.lit(" "))))
     return events.select(
         eid.alias("log_id"), eid.alias("seq"),
-        F.concat(F.lit("INC-"), uid.cast("string")).alias("incident_id"),
+        F.concat(F.lit("INC-"), uid.cast("string"), F.lit("-"), at("dd")).alias("incident_id"),
         raw.alias("raw_log"),
-        F.when(eid % _CALLER_SOURCES == 0, F.concat(F.lit("caller-"), svc)).alias("source"))
+        F.when(eid % _CALLER_SOURCES == 0, F.concat(F.lit("caller-"), svc)).alias("source"),
+        *kept)
 
 
 def _sql_list(values: tuple[str, ...]) -> str:
@@ -154,7 +155,7 @@ def sample_logs_sql() -> str:
     for mark, value in (("{n}", "event_id"), ("{u}", "user_id"), ("{m}", "(event_id + user_id) % 250")):
         message = f"replace({message}, '{mark}', ({value})::VARCHAR)"
     return f"""
-  SELECT event_id AS log_id, event_id AS seq, 'INC-' || user_id AS incident_id,
+  SELECT event_id AS log_id, event_id AS seq, 'INC-' || user_id || '-' || strftime(ts, '%d') AS incident_id,
          CASE event_id % {_HEADERS}
            WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || lvl || ' [svc' || svc || '] ' || msg
            WHEN 1 THEN strftime(ts, '%b %-d %H:%M:%S') || ' host' || svc || ' svc[' || user_id || ']: ' || lvl || ' ' || msg
