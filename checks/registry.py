@@ -248,7 +248,7 @@ def _keyword_sql() -> str:
     rows = [(f"{i * 100 + j}", k, rid) for i, (k, ids) in enumerate(index.items()) for j, rid in enumerate(ids)]
     values = ", ".join(f"({at}, {q.q(k)}, {q.q(rid)})" for at, k, rid in rows)
     return q.sql(q.LOGS, f"""SELECT log_id, rule_id, row_number() OVER (PARTITION BY log_id ORDER BY first_at)::INT AS place FROM (
-      SELECT log_id, rule_id, min(at) AS first_at FROM logs JOIN (VALUES {values}) k(at, keyword, rule_id)
+      SELECT log_id, rule_id, min(nth) AS first_at FROM logs JOIN (VALUES {values}) k(nth, keyword, rule_id)
       ON contains(lower(raw_log), keyword) GROUP BY ALL)""")
 
 

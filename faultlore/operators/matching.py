@@ -119,7 +119,7 @@ def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
     """Adds the matching rules of each line, best first:
     ``array<struct<confidence, neg_rank, match_length, keyword_hits, code_hit>>``.
     """
-    rules = tuple(rules)
+    rules, kept = tuple(rules), logs.columns
     keywords = constant([[k.lower() for k in r.keywords] for r in rules], "array<array<string>>")
     codes = constant([list(r.error_codes) for r in rules], "array<array<string>>")
     line, lowered = F.col("raw_log"), F.col(_LOWERED)
@@ -146,10 +146,10 @@ def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
         h["match_length"].cast("int").alias("match_length"),
         h["keyword_hits"].alias("keyword_hits"),
         h["code_hit"].alias("code_hit")))
-    return (logs
-            .withColumn("_measured", measured)
-            .withColumn(name, F.sort_array(scored, asc=False))
-            .drop("_hits", "_measured", _LOWERED))
+    # A generator of one row keeps later filters from being moved below it, which
+    # would run every regex a second time inside the filter.
+    return logs.withColumn("_measured", measured).select(
+        *kept, F.inline(F.array(F.struct(F.sort_array(scored, asc=False).alias(name)))))
 
 
 def rank_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
