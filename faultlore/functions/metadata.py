@@ -58,7 +58,8 @@ HTTP_REASONS = (
 )
 
 URL = rf"https?://[^{WHITESPACE}\"']+|/[a-zA-Z0-9._~:/?#\[\]@!$&'()*+,;=-]+"
-FILE_PATH = rf"(?:/[a-zA-Z0-9._-]+){{2,}}|[A-Z]:\\(?:[^{WHITESPACE}\\]+\\)*[^{WHITESPACE}\\]+"
+FILE_PATH = (rf"/[a-zA-Z0-9._-]+/[a-zA-Z0-9._-][a-zA-Z0-9._/-]*"
+             rf"|[A-Z]:\\[^{WHITESPACE}\\]{NOT_SPACE}*")
 
 
 def extract_timestamp(line: Column) -> Column:
@@ -125,7 +126,12 @@ def extract_username(scan: Column) -> Column:
 
 
 def extract_file_path(scan: Column) -> Column:
-    return first_match(scan, FILE_PATH)
+    """A path ends before an empty segment.  That is cut off afterwards, as a regex
+    that repeats whole segments would recurse once per segment."""
+    path = F.regexp_extract(scan, FILE_PATH, 0)
+    path = F.regexp_replace(path, "^(/[^/].*?)/(?:/.*)?$", "$1")
+    path = F.regexp_replace(path, r"^([A-Z]:\\.*?)\\(?:\\.*)?$", "$1")
+    return F.nullif(path, F.lit(""))
 
 
 def extract_source(scan: Column) -> Column:

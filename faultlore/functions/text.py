@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters the rule dialect counts as white space.
 WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BLANKS = "".join(chr(c) for c in range(0x10000) if re.match(f"[{WHITESPACE}]", chr(c)))
 
 
 def constant(value, ddl: str) -> Column:
@@ -17,8 +19,8 @@ def constant(value, ddl: str) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Text without white space at either end (``F.trim`` strips blanks only)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    """Text without white space at either end."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def utf16_length(text: Column) -> Column:

@@ -32,8 +32,9 @@ ERROR_CODE_STEP = 0.1
 CONFIDENCE_CAP = 0.99
 
 _LOWERED = "_lowered"
-_TO_TRY = "_to_try"
+_MARKS = "_marks"
 _BUCKETS = 2048
+_TELLING = 4  # shorter literals are in most lines
 
 
 def regex_confidence(match_length: Column, line_length: Column) -> Column:
@@ -61,57 +62,74 @@ def confidence_round(confidence: Column) -> Column:
 
 @lru_cache(maxsize=8)
 def _search(rules: tuple[Rule, ...]) -> tuple[str, list[list[int]], list[int], str]:
-    """What is searched for, as text: the literal-text regex, the regexes to try
-    per literal (by hash bucket), those to try always, and the trial itself."""
+    """What is searched for, as text: the regex that finds literal texts, the marks
+    each literal sets (by hash bucket), marks set always, and the trial of a regex.
+
+    Mark ``n`` is regex number ``n``: try it.  Marks beyond the number of regexes
+    stand for further groups of literals, without which a trial is in vain.
+    """
     regexes = [(rank, rx) for rank, r in enumerate(rules, start=1) for rx in r.patterns]
     groups = [required_text(rx) for _, rx in regexes]
     uses = Counter(t for gs in groups for g in gs for t in g)
 
-    # Per regex, wait for the group of literals that other regexes use least.
-    tries: dict[str, set[int]] = {}
-    always = []
+    marks: dict[str, set[int]] = {}
+    always, needed, last = [], [], len(regexes)
     for number, gs in enumerate(groups, start=1):
-        if not gs:
+        # A trial waits for the group of literals that other regexes use least.
+        rarest_first = sorted(gs, key=lambda g: (sum(uses[t] for t in g), -min(map(len, g))))
+        if not rarest_first:
             always.append(number)
-            continue
-        for text in min(gs, key=lambda g: (sum(uses[t] for t in g), -min(map(len, g)))):
-            tries.setdefault(text, set()).add(number)
+        for text in rarest_first[0] if rarest_first else ():
+            marks.setdefault(text, set()).add(number)
+        needs = []
+        for group in rarest_first[1:]:
+            if min(map(len, group)) >= _TELLING:
+                last += 1
+                needs.append(last)
+                for text in group:
+                    marks.setdefault(text, set()).add(last)
+        needed.append(needs)
     # The search reports the longest literal at a position; it stands for its prefixes.
-    for text in sorted(tries, key=len):
-        for prefix in tries:
+    for text in sorted(marks, key=len):
+        for prefix in marks:
             if prefix != text and text.startswith(prefix):
-                tries[text] |= tries[prefix]
+                marks[text] |= marks[prefix]
 
-    # Literal -> regexes by hash.  A collision only means a regex tried in vain.
+    # Literal -> marks by hash.  A collision only means a regex tried in vain.
     buckets: list[set[int]] = [set() for _ in range(_BUCKETS)]
-    for text, numbers in tries.items():
+    for text, numbers in marks.items():
         buckets[zlib.crc32(text.encode()) % _BUCKETS] |= numbers
 
     def trial(low: int, high: int) -> str:
         if high - low == 1:
             rank, rx = regexes[low]
-            return (f"named_struct('rank', {rank}, 'text', "
-                    f"regexp_extract(raw_log, {sql_text(spark_regex(rx))}, 0))")
+            text = f"regexp_extract(raw_log, {sql_text(spark_regex(rx))}, 0)"
+            if needed[low]:
+                present = " AND ".join(f"array_contains({_MARKS}, {m})" for m in needed[low])
+                text = f"IF({present}, {text}, '')"
+            return f"named_struct('rank', {rank}, 'text', {text})"
         middle = (low + high) // 2
         return f"IF(n <= {middle}, {trial(low, middle)}, {trial(middle, high)})"
 
-    find = f"(?=({prefix_tree_regex(tries)}))" if tries else "(?!)()"
-    return find, [sorted(b) for b in buckets], always, trial(0, len(regexes))
+    find = f"(?=({prefix_tree_regex(marks)}))" if marks else "(?!)()"
+    hits = (f"filter(transform(filter({_MARKS}, n -> n <= {len(regexes)}), "
+            f"n -> {trial(0, len(regexes))}), h -> h.text != '')")
+    return find, [sorted(b) for b in buckets], always, hits
 
 
 def _with_hits(logs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
     """Adds ``array<struct<rank, text>>``: one element per regex that matched."""
-    find, buckets, always, trial = _search(rules)
+    find, buckets, always, hits = _search(rules)
     bucket = constant(buckets, "array<array<int>>")
-    texts = F.regexp_extract_all(F.col(_LOWERED), F.lit(find), F.lit(1))
-    to_try = F.flatten(F.transform(texts, lambda t: F.element_at(
+    texts = F.array_distinct(F.regexp_extract_all(F.col(_LOWERED), F.lit(find), F.lit(1)))
+    marks = F.flatten(F.transform(texts, lambda t: F.element_at(
         bucket, (F.crc32(t.cast("binary")) % _BUCKETS + 1).cast("int"))))
     if always:
-        to_try = F.concat(to_try, F.array(*map(F.lit, always)))
+        marks = F.concat(marks, F.array(*map(F.lit, always)))
     return (logs
-            .withColumn(_TO_TRY, F.array_distinct(to_try))
-            .withColumn(name, F.expr(f"filter(transform({_TO_TRY}, n -> {trial}), h -> h.text != '')"))
-            .drop(_TO_TRY))
+            .withColumn(_MARKS, F.array_distinct(marks))
+            .withColumn(name, F.expr(hits))
+            .drop(_MARKS))
 
 
 def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
