@@ -420,7 +420,7 @@ def matched_of(spark, sf_dir) -> DataFrame:
     return (df.filter(F.col("rank") > 0)
             .withColumn("rule_severity", F.element_at(severities, F.col("rank")))
             .withColumn("base", sv.base_score(F.col("rule_severity")))
-            .withColumn("modifier", sv.modifier_applied(F.col("raw_log"), F.col("rank"), BUILTIN_RULES))
+            .withColumn("modifier", sv.modifier_applied(BUILTIN_RULES))
             .withColumn("modified", F.coalesce(F.col("modifier.score"), F.col("base"))))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultlore.catalogue import Rule
-from faultlore.functions.regexes import spark_regex
-from faultlore.functions.text import WHITESPACE
+from faultlore.functions.regexes import spark_regex, sql_text
+from faultlore.functions.text import WHITESPACE, constant
 
 # Fixed values from here on.
 
@@ -68,23 +68,23 @@ def unknown_score(level: Column) -> Column:
     return base_score(level_to_severity_default(level))
 
 
-def modifier_applied(line: Column, rank: Column, rules: Sequence[Rule]) -> Column:
-    """``struct<score, reason>`` of the modifier that decides, NULL if none does.
+def modifier_applied(rules: Sequence[Rule]) -> Column:
+    """``struct<score, reason>`` of the modifier that decides, NULL if none does,
+    from the columns ``raw_log`` and ``rank``.
 
     A modifier only ever raises the score, so the highest true one decides, the
     earlier of two equals; those not above the rule's base score never do.
     """
-    raised = []
+    branches, results = [], []
     for number, rule in enumerate(rules, start=1):
         raising = [m for m in rule.modifiers
                    if BASE_SCORES[m.severity] > BASE_SCORES[rule.severity]]
         for m in sorted(raising, key=lambda m: -BASE_SCORES[m.severity]):
-            raised.append((
-                (rank == number) & line.rlike(spark_regex(m.condition)),
-                F.struct(F.lit(BASE_SCORES[m.severity]).alias("score"),
-                         F.lit(m.reason).alias("reason"))))
-    none = F.lit(None).cast("struct<score:int,reason:string>")
-    return case(*raised).otherwise(none) if raised else none
+            results.append({"score": BASE_SCORES[m.severity], "reason": m.reason})
+            branches.append(f"WHEN rank = {number} AND raw_log RLIKE "
+                            f"{sql_text(spark_regex(m.condition))} THEN {len(results)}")
+    which = F.expr("CASE " + " ".join(branches) + " END" if branches else "CAST(NULL AS INT)")
+    return F.try_element_at(constant(results, "array<struct<score:int,reason:string>>"), which)
 
 
 def level_blend(score: Column, level: Column) -> Column:

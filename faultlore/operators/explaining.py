@@ -56,18 +56,16 @@ def best_match(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFr
     """Adds ``rank`` (0 if no rule matches), ``pattern_id``, ``category`` and ``confidence``."""
     ids = constant([r.rule_id for r in rules], "array<string>")
     categories = constant([r.category for r in rules], "array<string>")
-    best = F.try_element_at(F.col("_candidates"), F.lit(1))
-    rank = F.col("rank")
+    best, rank = F.try_element_at(F.col("_candidates"), F.lit(1)), F.col("rank")
+    kept = logs.columns
+
+    def of_rule(values: Column) -> Column:
+        return F.when(rank > 0, F.try_element_at(values, rank)).otherwise(F.lit(UNKNOWN))
+
     return (with_candidates(logs, rules, "_candidates")
-            .withColumn("_best", best)
-            .drop("_candidates")
-            .withColumns({"rank": F.coalesce(-F.col("_best.neg_rank"), F.lit(0)),
-                          "confidence": F.coalesce(F.col("_best.confidence"), F.lit(0.0))})
-            .drop("_best")
-            .withColumns({
-                "pattern_id": F.when(rank > 0, F.try_element_at(ids, rank)).otherwise(F.lit(UNKNOWN)),
-                "category": F.when(rank > 0, F.try_element_at(categories, rank)).otherwise(F.lit(UNKNOWN)),
-            }))
+            .select(*kept, F.coalesce(-best["neg_rank"], F.lit(0)).alias("rank"),
+                    F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"))
+            .select("*", of_rule(ids).alias("pattern_id"), of_rule(categories).alias("category")))
 
 
 def calculate_severity(matched: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
@@ -81,22 +79,21 @@ def calculate_severity(matched: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES
     base = F.coalesce(F.col("_modifier.score"), sv.base_score(rule_severity))
     boosted = sv.repetition_boost(sv.context_boost(sv.level_blend(F.col("_base"), level), line), line)
     score = F.col("severity_score")
+    kept = matched.columns
     return (matched
-            .withColumn("_modifier", sv.modifier_applied(line, rank, rules))
-            .withColumn("_base", base)
-            .withColumn("severity_score", F.when(known, sv.severity_clamp(boosted))
-                        .otherwise(sv.unknown_score(level)).cast("int"))
-            .withColumns({
-                "severity": sv.score_to_level(score),
-                "severity_reason": F.when(known, F.coalesce(
+            .select("*", sv.modifier_applied(rules).alias("_modifier"))
+            .select("*", base.alias("_base"))
+            .select(*kept, "_modifier", F.when(known, sv.severity_clamp(boosted))
+                    .otherwise(sv.unknown_score(level)).cast("int").alias("severity_score"))
+            .select(
+                *kept, sv.score_to_level(score).alias("severity"), "severity_score",
+                F.when(known, F.coalesce(
                     F.col("_modifier.reason"),
                     F.concat(F.lit("Base severity: "), rule_severity,
                              F.lit(" (pattern: "), rule_id, F.lit(")"))))
                 .otherwise(F.concat(
                     F.lit("No known pattern matched. Severity derived from log level: "),
-                    F.coalesce(level, F.lit("unknown")))),
-            })
-            .drop("_modifier", "_base"))
+                    F.coalesce(level, F.lit("unknown")))).alias("severity_reason")))
 
 
 def unknown_summary(level: Column) -> Column:

@@ -117,8 +117,9 @@ def _search(rules: tuple[Rule, ...]) -> tuple[str, list[list[int]], list[int], s
     return find, [sorted(b) for b in buckets], always, hits
 
 
-def _with_hits(logs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame:
-    """Adds ``array<struct<rank, text>>``: one element per regex that matched."""
+def _hits(logs: DataFrame, rules: tuple[Rule, ...], kept: list[str]) -> DataFrame:
+    """``kept`` and ``_hits``, an ``array<struct<rank, text>>``: one element per
+    regex that matched."""
     find, buckets, always, hits = _search(rules)
     bucket = constant(buckets, "array<array<int>>")
     texts = F.array_distinct(F.regexp_extract_all(F.col(_LOWERED), F.lit(find), F.lit(1)))
@@ -126,10 +127,8 @@ def _with_hits(logs: DataFrame, rules: tuple[Rule, ...], name: str) -> DataFrame
         bucket, (F.crc32(t.cast("binary")) % _BUCKETS + 1).cast("int"))))
     if always:
         marks = F.concat(marks, F.array(*map(F.lit, always)))
-    return (logs
-            .withColumn(_MARKS, F.array_distinct(marks))
-            .withColumn(name, F.expr(hits))
-            .drop(_MARKS))
+    return (logs.select(*kept, F.array_distinct(marks).alias(_MARKS))
+            .select(*kept, F.expr(hits).alias("_hits")))
 
 
 def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
@@ -142,7 +141,7 @@ def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
     codes = constant([list(r.error_codes) for r in rules], "array<array<string>>")
     line, lowered = F.col("raw_log"), F.col(_LOWERED)
 
-    logs = _with_hits(logs.withColumn(_LOWERED, F.lower("raw_log")), rules, "_hits")
+    logs = _hits(logs.withColumn(_LOWERED, F.lower("raw_log")), rules, [*kept, _LOWERED])
     measured = F.transform("_hits", lambda h: F.struct(
         h["rank"].alias("rank"), utf16_length(h["text"]).alias("match_length")))
     # Of several regexes of one rule the longest match counts.
@@ -166,7 +165,7 @@ def with_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
         h["code_hit"].alias("code_hit")))
     # A generator of one row keeps later filters from being moved below it, which
     # would run every regex a second time inside the filter.
-    return logs.withColumn("_measured", measured).select(
+    return logs.select(*kept, _LOWERED, measured.alias("_measured")).select(
         *kept, F.inline(F.array(F.struct(F.sort_array(scored, asc=False).alias(name)))))
 
 
