@@ -124,12 +124,21 @@ def _by_rank(values: list, ddl: str, rank: Column) -> Column:
     return F.element_at(constant(values, f"array<{ddl}>"), rank + 1)
 
 
+ASSESSED_COLUMNS = (
+    "incident_id", "seq", "timestamp", "log_level", "rank", "category", "severity", "severity_score")
+
+
+def _assessed(logs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Lines as they are if they have been assessed, and written, before."""
+    return logs if set(ASSESSED_COLUMNS) <= set(logs.columns) else assess_logs(logs, rules)
+
+
 def incident_rules(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
     """Per incident, its counts and ``by_rule``: the rules seen, first seen first.
 
     ``by_rule`` has at most one element per rule of the catalogue.
     """
-    assessed = assess_logs(logs, rules).select(
+    assessed = _assessed(logs, rules).select(
         "incident_id", "seq", "rank", "severity_score", "severity")
     per_rule = assessed.groupBy("incident_id", "rank").agg(
         *severity_counts(), F.min("seq").alias("first_seq"))
@@ -193,8 +202,9 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
                      correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
     """One summary row per incident.
 
-    ``logs`` has ``incident_id, seq, raw_log``; ``seq`` is unique per incident and
-    gives the input order.  ``incidents`` (``incident_id, context``) adds context
+    ``logs`` has ``incident_id, seq, raw_log``, or the columns of a table that
+    ``plans.jobs`` assessed before; ``seq`` is unique per incident and gives the
+    input order.  ``incidents`` (``incident_id, context``) adds context
     to titles and yields the empty summary for incidents without any line.
     """
     ids = [UNKNOWN] + [r.rule_id for r in rules]
@@ -283,7 +293,7 @@ def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
     def before(n: str, window) -> Column:
         return F.sum(n).over(window) - F.col(n)
 
-    stamps = parse_log_line(logs).select("incident_id", "seq", "timestamp").withColumns(blocks)
+    stamps = (logs if "timestamp" in logs.columns else parse_log_line(logs)).select("incident_id", "seq", "timestamp").withColumns(blocks)
     cells = stamps.groupBy(*cell).agg(F.count("*").alias("_n"))
     minutes = cells.groupBy(*minute).agg(F.sum("_n").alias("_n")).select(
         *minute,
@@ -292,7 +302,7 @@ def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
         "_within", before("_n", Window.partitionBy(*minute).orderBy("_stamp", "_stretch"))
     ).join(minutes, minute).select(*cell, (F.col("_start") + F.col("_within")).alias("_before"))
 
-    events = assess_logs(logs, rules).select(
+    events = _assessed(logs, rules).select(
         "incident_id", "seq", "timestamp",
         F.substring(summary_text(F.col("rank"), F.col("log_level"), rules),
                     1, TIMELINE_SUMMARY_LENGTH).alias("summary"),
