@@ -149,13 +149,17 @@ def rule_by_id(spark, sf_dir):
   count(DISTINCT rule_id) AS patterns_seen, count(rule_id) AS known_logs, count(*) AS logs FROM assessed"""))
 def kb_stats(spark, sf_dir):
     """Size of the catalogue and how much of the logs it covers."""
-    seen = ex.best_match(busy_logs(spark, sf_dir)).groupBy("rank").agg(F.count("*").alias("n")).agg(
-        F.count_if(F.col("rank") > 0).alias("patterns_seen"),
-        F.coalesce(F.sum(F.when(F.col("rank") > 0, F.col("n"))), F.lit(0)).alias("known_logs"),
+    won = ex.best_match(busy_logs(spark, sf_dir)).groupBy("rank").agg(F.count("*").alias("n"))
+    known = F.col("rule_id").isNotNull()
+    # Both sides have one row per rule of the catalogue.
+    return cat.read_rules(spark).select("rank", "rule_id", "category").join(won, "rank", "full").agg(
+        F.count("rule_id").alias("total_patterns"),
+        listed(F.array_distinct(F.transform(
+            F.array_sort(F.collect_list(F.when(known, F.struct("rank", "category")))),
+            lambda c: c["category"]))).alias("categories"),
+        F.count_if(known & (F.col("n") > 0)).alias("patterns_seen"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("known_logs"),
         F.sum("n").alias("logs"))
-    stats = cat.kb_stats(cat.read_rules(spark)).withColumn("categories", listed("categories"))
-    # Both sides are one row.
-    return stats.withColumn("one", F.lit(1)).join(seen.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @check(q.sql(q.USAGE, "SELECT id, api_key_id, endpoint, status_code, response_time_ms, "

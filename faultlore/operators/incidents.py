@@ -138,7 +138,7 @@ def incident_rules(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> Da
 
     ``by_rule`` has at most one element per rule of the catalogue.
     """
-    assessed = _assessed(logs, rules).select(
+    assessed = _assessed(logs, rules).filter(F.col("incident_id").isNotNull()).select(
         "incident_id", "seq", "rank", "severity_score", "severity")
     per_rule = assessed.groupBy("incident_id", "rank").agg(
         *severity_counts(), F.min("seq").alias("first_seq"))
