@@ -9,9 +9,9 @@
 3. Survivors are verified on the words of both texts: first the likeliest of each
    set, then those that still join two components.
 4. Buckets of three or more that still hold several components are compared in
-   full across these, in blocks of bounded size by the same Bayesian test, and
-   the survivors are verified.  So a bucket costs its square only where its
-   members are not linked, and no pair is written unless it may be a link.
+   full across these, in blocks of bounded size, by the same Bayesian test and
+   then the texts.  So a bucket costs its square only where its members are not
+   linked, and a block returns fewer links than it has members.
 
 At similarity 0.85 a pair shares no band with a chance of 7e-8 and is pruned
 with a chance of about ``miss`` per batch.
@@ -140,6 +140,11 @@ def _set(text: str, length: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(own[i:] for i in range(length)))) if len(own) >= length else {tuple(own)}
 
 
+def _similar(one: set, two: set, percent: int) -> bool:
+    both = len(one & two)
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _verified(pairs: DataFrame, involved: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets reach the similarity, from the words of both texts."""
     def verify(batches):
@@ -149,9 +154,7 @@ def _verified(pairs: DataFrame, involved: DataFrame, percent: int, shingle: int)
             for one, two in zip(column(batch, "one").to_pylist(), column(batch, "two").to_pylist()):
                 if two != known[0]:
                     known = two, _set(two, shingle)
-                own, other = _set(one, shingle), known[1]
-                both = len(own & other)
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+                keep.append(_similar(_set(one, shingle), known[1], percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = involved.select(F.col("sid").alias("a"), F.col("text").alias("one"))
@@ -160,42 +163,54 @@ def _verified(pairs: DataFrame, involved: DataFrame, percent: int, shingle: int)
     return both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
 
 
-def _across(members: DataFrame, sets: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """Survivors (a, b, matches) between different components of a bucket: (key, n, sid, component).
+def _across(members: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, shingle: int, miss: float) -> DataFrame:
+    """Links (a, b) between different components of a bucket: (key, band, n, sid, component).
 
     Members are dealt into blocks of about ``BLOCK`` and every two blocks meet in
-    a group of bounded size.
+    a group of bounded size, which tests a pair if they share no earlier band and
+    nothing links them yet, first by signature, then by text.  A group returns
+    fewer links than it has members.
     """
-    rounds = _rounds(similarity, miss)
+    rounds = _rounds(percent / 100, miss)
     blocks = F.ceil(F.col("n") / BLOCK)
     own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     met = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-           .join(sets.select("sid", "signature"), "sid")
-           .select("key", "low", "high", "block", "sid", "component", "signature"))
+           .join(sets.select("sid", "signature", "bands").join(texts, "sid"), "sid")
+           .select("key", "low", "high", "block", "sid", "component", "band", "signature", "bands", "text"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         values = _signatures(table["signature"])
-        sid, component, block = (table[c].to_numpy() for c in ("sid", "component", "block"))
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        found = []
+        sid, label, block = (table[c].to_numpy().copy() for c in ("sid", "component", "block"))
+        low, high, band = (table[c][0].as_py() for c in ("low", "high", "band"))
+        bands = np.array(table["bands"].to_pylist())[:, :band]
+        known: dict[int, set] = {}
+
+        def words_of(i: int) -> set:
+            if i not in known:
+                known[i] = _set(table["text"][i].as_py(), shingle)
+            return known[i]
+
+        links = []
         for i in np.flatnonzero(block == low):
-            rest = np.flatnonzero((component != component[i]) & (block == high) & ((low != high) | (sid > sid[i])))
+            rest = np.flatnonzero((label != label[i]) & (block == high) & ((low != high) | (sid > sid[i])))
+            rest = rest[~(bands[rest] == bands[i]).any(1)]
             matches, at = np.zeros(len(rest), np.int64), 0
             for k, least in rounds:
                 matches += (values[rest, at:k] == values[i, at:k]).sum(1)
                 rest, matches, at = rest[matches >= least], matches[matches >= least], k
-            found += [(sid[i], sid[j], m) for j, m in zip(rest, matches)]
-        a, b, m = zip(*found) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "matches": pa.array(m, pa.int64())})
+            for j in rest[np.argsort(-matches, kind="stable")]:
+                if label[i] != label[j] and _similar(words_of(i), words_of(j), percent):
+                    links.append((sid[i], sid[j]))
+                    label[label == label[j]] = label[i]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long, matches long")
-    return (found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "matches")
-            .distinct())
+    return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss: float = 1e-9) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Rows are linked where 100 * |intersection| >= percent * |union| of their
@@ -208,7 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
                  F.first("bands").alias("bands")))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
-    banded = sets.select("sid", F.explode("bands").alias("key"))
+    banded = sets.select("sid", F.posexplode("bands").alias("band", "key"))
     pivots = (banded.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
     buckets = written(banded.join(pivots, "key"), "buckets")
     pairs = buckets.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -217,7 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
     likely = written(_survivors(pairs.join(one, "a").join(two, "b"), similarity, miss), "likely")
 
     first = likely.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
-    texts = written(_texts(docs, sets, likely, shingle), "texts")
+    ends = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid"))).distinct()
+    texts = written(_texts(docs, sets, ends, shingle), "texts")
     links = written(_verified(first, texts, percent, shingle), "links")
     component = components(links)
 
@@ -231,12 +247,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
                .withColumn("component", F.coalesce("component", "sid")))
     several = (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low <> high").select("key"))
-    found = _across(members.join(several, "key"), sets, similarity, miss)
-    tried = likely.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    found = written(found.join(tried, ["a", "b"], "left_anti"), "likely")
-    if not found.isEmpty():
-        texts = written(_texts(docs, sets, found, shingle), "texts")
-        component = components(links.union(_verified(found, texts, percent, shingle)))
+    members = members.join(several, "key")
+    texts = _texts(docs, sets, members.select("sid").distinct(), shingle)
+    more = written(_across(members, sets, texts, percent, shingle, miss), "links")
+    if not more.isEmpty():
+        component = components(links.union(more))
 
     of_set = sets.select("sid", "set_key", "doc_id").join(component.withColumnRenamed("node", "sid"), "sid", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "sid"))
@@ -248,8 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)))
 
 
-def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(sid, text) for the sets in ``pairs``: one text of each, found by its id and its set."""
+def _texts(docs: DataFrame, sets: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
+    """(sid, text) for the sets in ``sids``: one text of each, found by its id and its set."""
     def same(batches):
         for batch in batches:
             for part, data, offsets in slices(batch):
@@ -259,7 +274,6 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int) ->
                         for low, high, key in zip(limits[:-1], limits[1:], keys)]
                 yield part.select(["sid", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = sids.join(sets.select("sid", "set_key", F.col("doc_id").alias("of")), "sid")
     met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
     return (met.select("sid", "set_key", "text").mapInArrow(same, "sid long, text string")
