@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultlore.llm.common import documents
 from faultlore.llm.near import near_duplicates
+from faultlore.llm.substrings import repeated_windows_removed
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows_removed(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
