@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultlore.llm.common import documents
 from faultlore.llm.languages import languages
 from faultlore.llm.near import near_duplicates
+from faultlore.llm.packing import packed_documents
 from faultlore.llm.substrings import repeated_windows_removed
 
 
@@ -14,6 +15,10 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir))
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -24,6 +29,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_mixture": op3_language_mixture,
+    "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
