@@ -8,6 +8,7 @@ from faultlore.llm.common import documents
 from faultlore.llm.languages import languages
 from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
+from faultlore.llm.secrets import secrets
 from faultlore.llm.substrings import repeated_windows_removed
 
 
@@ -15,6 +16,10 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
@@ -29,6 +34,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language_mixture": op3_language_mixture,
+    "op4_secret_scan": op4_secret_scan,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
