@@ -10,6 +10,11 @@ from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
 from faultlore.llm.secrets import secrets
 from faultlore.llm.substrings import repeated_windows_removed
+from faultlore.llm.toxicity import toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
     "op8_harmonic_packing": op8_harmonic_packing,
