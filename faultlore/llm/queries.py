@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultlore.llm import exact
 from faultlore.llm.common import documents
+from faultlore.llm.exact import exact_duplicates
 from faultlore.llm.languages import languages
 from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
@@ -25,6 +27,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
@@ -41,8 +47,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_exact_dedup": exact.SQL}
