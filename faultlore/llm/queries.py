@@ -8,6 +8,7 @@ from faultlore.llm import exact
 from faultlore.llm.common import documents
 from faultlore.llm.exact import exact_duplicates
 from faultlore.llm.languages import languages
+from faultlore.llm.mixing import mixture_sizes
 from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
 from faultlore.llm.secrets import secrets
@@ -27,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_sizes(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
+    "op5_source_mixing": op5_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
