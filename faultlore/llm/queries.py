@@ -11,6 +11,7 @@ from faultlore.llm.languages import languages
 from faultlore.llm.mixing import mixture_sizes
 from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
+from faultlore.llm.quality import quality
 from faultlore.llm.secrets import secrets
 from faultlore.llm.substrings import repeated_windows_removed
 from faultlore.llm.toxicity import toxicity
@@ -36,6 +37,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
