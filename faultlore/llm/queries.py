@@ -11,12 +11,17 @@ from faultlore.llm.languages import languages
 from faultlore.llm.mixing import mixture_sizes
 from faultlore.llm.near import near_duplicates
 from faultlore.llm.packing import packed_documents
+from faultlore.llm.pii import personal_data
 from faultlore.llm.quality import quality
 from faultlore.llm.secrets import secrets
 from faultlore.llm.substrings import repeated_windows_removed
 from faultlore.llm.toxicity import toxicity
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -54,6 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
     "op3_language_mixture": op3_language_mixture,
     "op4_secret_scan": op4_secret_scan,
