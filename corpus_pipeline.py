@@ -1,19 +1,52 @@
-"""A corpus pipeline from the operators of ``faultlore.llm``."""
+"""A corpus pipeline from the operators of ``faultlore.llm``.
+
+Each stage takes what its predecessor kept, as written to the shared folder, and
+returns the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultlore.llm.common import documents, written
+from faultlore.llm.exact import exact_duplicates, normalised
+from faultlore.llm.languages import in_known_language
+from faultlore.llm.mixing import mixed_documents
 from faultlore.llm.near import near_duplicates
+from faultlore.llm.packing import packed_documents
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; texts without letters and null texts go."""
+    return in_known_language(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of equal texts."""
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.sha2(normalised(F.col("text")), 256) == F.col("sha"))
+    return docs.join(kept, same, "left_semi")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """One document of each group of near duplicates: five words a shingle, similarity 0.8."""
+    kept = near_duplicates(docs, percent=80, shingle=5).filter("kept").select(F.col("doc_id").alias("of"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of sources: documents as often as they are taken, the last time perhaps in part."""
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences."""
+    return packed_documents(docs)
 
 
-STAGES = [("near", near_stage)]
+STAGES = [("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("mixing", mixing_stage),
+          ("packing", packing_stage)]
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None

@@ -143,6 +143,27 @@ def identified(docs: DataFrame, langs: list[str], probabilities: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(identify, "doc_id long, lang_pred string, score double, languages string")
 
 
+def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` (text, lang, doc_id, ...) of which a learned language makes up ``least`` or more.
+
+    Rows that are ``und`` go; all columns stay as they are.
+    """
+    langs, probabilities = model(trigram_counts(docs.filter(~held_out(4, 2))))
+
+    def keep(batches):
+        for batch in batches:
+            for part, _, _ in slices(batch):
+                mask = np.zeros(len(part), bool)
+                if langs:
+                    of, bucket, _ = trigrams(texts(part).to_pylist())
+                    if len(of):
+                        text, share = proportions(of, bucket, probabilities)
+                        mask[text] = share.max(1) >= least
+                yield part.filter(pa.array(mask))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Predictions for all rows, learned from the rows with a language that aren't held out."""
     langs, probabilities = model(trigram_counts(docs.filter(~held_out(4, 2))))
