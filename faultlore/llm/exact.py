@@ -40,27 +40,23 @@ def _entry(key: Column) -> Column:
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(entry, bucket, depth) for each ``DEEPEST``-bit prefix that occurs: the bucket's prefix and its bits.
+    """(entry, bucket) for each ``DEEPEST``-bit prefix that occurs.
 
-    ``keys`` has the distinct keys.  What the rounds work on are counts by prefix,
-    2 ** DEEPEST rows at most.
+    A bucket of depth d is named 2 ** d + its d bits.  ``keys`` has the distinct
+    keys.  What the rounds work on are counts by prefix, 2 ** DEEPEST rows at most.
     """
-    counts = written(keys.groupBy(_entry(F.col("key")).alias("entry")).agg(F.count("*").alias("n")), "prefixes")
-    depth = 0
-    of = counts.select("entry", "n", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("depth"))
-    while depth < DEEPEST:
-        sizes = of.groupBy("bucket", "depth").agg(F.sum("n").alias("size")).filter(
-            (F.col("size") > capacity) & (F.col("depth") == depth))
-        if sizes.isEmpty():
+    counts = keys.groupBy(_entry(F.col("key")).alias("entry")).agg(F.count("*").alias("n"))
+    of = written(counts.withColumn("bucket", F.shiftright("entry", DEEPEST) + 1), "directory")
+    for depth in range(1, DEEPEST + 1):
+        full = (of.filter(F.col("bucket") >= 1 << (depth - 1)).groupBy("bucket").agg(F.sum("n").alias("size"))
+                .filter(F.col("size") > capacity).select("bucket", F.lit(True).alias("full")))
+        if full.isEmpty():
             break
-        depth += 1
-        full = sizes.select("bucket", "depth", F.lit(True).alias("full"))
-        longer = F.shiftright("entry", DEEPEST - depth)
-        of = (of.join(F.broadcast(full), ["bucket", "depth"], "left")
-              .select("entry", "n", F.when(F.col("full"), longer).otherwise(F.col("bucket")).alias("bucket"),
-                      F.when(F.col("full"), F.lit(depth)).otherwise(F.col("depth")).alias("depth")))
-        of = written(of, "directory")
-    return of.select("entry", "bucket", "depth")
+        half = F.shiftright("entry", DEEPEST - depth) + (1 << depth)
+        split = of.join(F.broadcast(full), "bucket", "left")
+        of = written(split.select("entry", "n", F.when(F.col("full"), half).otherwise(F.col("bucket")).alias("bucket")),
+                     "directory")
+    return of.select("entry", "bucket")
 
 
 def slots(docs: DataFrame) -> DataFrame:
@@ -69,13 +65,13 @@ def slots(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """(bucket, depth, key, link, text_sha256, keep_id, group_size): one row per distinct text."""
+    """(bucket, key, link, text_sha256, keep_id, group_size): one row per distinct text."""
     own = docs.select("doc_id", normalised(F.col("text")).alias("text"))
     own = own.withColumn("key", F.xxhash64("text")).withColumn("entry", _entry(F.col("key")))
     own = own.join(F.broadcast(of), "entry")
-    links = (own.groupBy("bucket", "depth", "key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    links = (own.groupBy("bucket", "key", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
              .withColumn("text_sha256", F.sha2("text", 256)).drop("text"))
-    chain = Window.partitionBy("bucket", "depth", "key").orderBy("text_sha256")
+    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     return links.withColumn("link", F.row_number().over(chain))
 
 
