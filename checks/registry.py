@@ -58,8 +58,8 @@ def logs_of(spark, sf_dir) -> DataFrame:
 
 
 def busy_logs(spark, sf_dir) -> DataFrame:
-    """Log lines for the costly operators, on all cores."""
-    return sample_logs(tables.spread(table(spark, sf_dir, "events")))
+    """Log lines for the costly operators, on all cores: a line costs more to explain than to move."""
+    return sample_logs(table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism))
 
 
 def scanned(spark, sf_dir) -> DataFrame:
@@ -122,7 +122,7 @@ SELECT doc_id, seq::INT AS seq, length(raw_log) AS chars, coalesce(nullif(regexp
     '\\b(\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})\\b', 1), ''), '') AS ip_address FROM lines""")
 def read_raw_logs_lines(spark, sf_dir):
     """Documents as line-oriented logs, with the first address of each line."""
-    lines = tables.split_lines(tables.spread(table(spark, sf_dir, "documents")), "text", "doc_id")
+    lines = tables.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
     return lines.select("doc_id", "seq", F.length("raw_log").alias("chars"),
                         F.coalesce(md.extract_ip(F.col("raw_log")), F.lit("")).alias("ip_address"))
 
@@ -634,6 +634,30 @@ def incident_timeline(spark, sf_dir):
     return inc.incident_timeline(busy_logs(spark, sf_dir)).withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
 
 
+@check(q.sql(q.EXPLAINED + ",\n" + TIMELINE_SQL, """SELECT incident_id, ((position - 1) // 2)::BIGINT AS page,
+  string_agg(position::VARCHAR || '|' || timestamp || '|' || category, ';' ORDER BY position) AS entries
+FROM timeline GROUP BY 1, 2"""))
+def incident_timeline_pages(spark, sf_dir):
+    """Pages of two lines, so that most incidents have several."""
+    pages = inc.incident_timeline_pages(inc.incident_timeline(busy_logs(spark, sf_dir)), page_size=2)
+    entries = F.transform("timeline", lambda e: F.concat_ws(
+        "|", e["position"].cast("string"), F.coalesce(e["timestamp"], F.lit("")), e["category"]))
+    return pages.select("incident_id", "page", F.array_join(entries, ";").alias("entries"))
+
+
+@check("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_log,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+kept AS (SELECT * FROM lines WHERE raw_log NOT LIKE '%' || chr(13) || '%')
+SELECT row_number() OVER (ORDER BY doc_id, line) - 1 AS log_id, row_number() OVER (ORDER BY doc_id, line) - 1 AS seq, raw_log,
+    'docs' AS source FROM kept""")
+def read_raw_logs_text(spark, sf_dir):
+    """Lines of documents as text files in order of ids, read back with ids in file order."""
+    path = f"{tables.shared_folder(spark)}/raw-text-{_run()}"
+    lines = tables.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").filter("raw_log NOT LIKE '%\\r%'")
+    (lines.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id", "seq").select("raw_log").write.text(path))
+    return tables.read_raw_logs(spark, path, source="docs")
+
+
 # ── usage ───────────────────────────────────────────────────────────
 
 

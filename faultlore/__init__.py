@@ -3,14 +3,14 @@
 from faultlore.catalogue import BUILTIN_RULES, Modifier, Rule, read_rules, rules_from_json
 from faultlore.operators.explaining import assess_logs, explain_logs, known_only
 from faultlore.operators.incidents import (
-    CORRELATIONS, Correlation, attach_timeline, incident_summary, incident_timeline)
+    CORRELATIONS, Correlation, incident_summary, incident_timeline, incident_timeline_pages)
 from faultlore.operators.matching import keyword_candidates, rank_candidates
 from faultlore.operators.parsing import event_time, parse_log_line, reject_empty_logs
 from faultlore.operators.usage import attribute_requests, rate_limit_breaches, usage_stats
 
 __all__ = [
     "BUILTIN_RULES", "CORRELATIONS", "Correlation", "Modifier", "Rule", "assess_logs",
-    "attach_timeline", "attribute_requests", "event_time", "explain_logs", "incident_summary",
-    "incident_timeline", "keyword_candidates", "known_only", "parse_log_line", "rank_candidates",
+    "attribute_requests", "event_time", "explain_logs", "incident_summary",
+    "incident_timeline", "incident_timeline_pages", "keyword_candidates", "known_only", "parse_log_line", "rank_candidates",
     "rate_limit_breaches", "read_rules", "reject_empty_logs", "rules_from_json", "usage_stats",
 ]

@@ -271,61 +271,70 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
 # ── time line ───────────────────────────────────────────────────────
 
 
+#: Beginnings of time stamps that are counted in levels; whatever the form of a
+#: stamp, few differ within one of them, and none is a whole epoch or date.
+STAMP_LEVELS = (6, 12, 18)
+
+
 def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
                       block: int = 1_000_000) -> DataFrame:
     """One row per line with its ``position`` in the incident's time line:
-    by time stamp text, lines without one last, ties by ``seq``.
+    by time stamp text (by code point), lines without one last, ties by ``seq``.
 
     A plain ``row_number`` per incident would sort a hot incident in one task.
-    Here lines are numbered within small blocks (one time stamp text and one
-    stretch of ``seq``) and each block starts at the number of lines before it,
-    which is summed over block counts only, in two levels.
+    Here lines are numbered within small cells (one time stamp text and one
+    stretch of ``seq``) and each cell starts at the number of lines before it.
+    That number is summed level by level over counts of ever longer beginnings of
+    the stamp, so no window sees more than the beginnings that follow one
+    beginning, also where every stamp differs.
+
+    ``seq`` should be filled and unique per incident: lines without it come last
+    among equal stamps, in no fixed order, and are in one cell.  Lines without an
+    ``incident_id`` belong to no incident and are left out, as in the summary.
     """
-    blocks = {
-        "_missing": F.col("timestamp").isNull(),
-        "_minute": F.coalesce(F.substring("timestamp", 1, 16), F.lit("")),
-        "_stamp": F.coalesce("timestamp", F.lit("")),
-        "_stretch": F.floor(F.col("seq") / F.lit(block)),
+    stamp = F.coalesce("timestamp", F.lit(""))
+    levels = [f"_level{i}" for i in range(len(STAMP_LEVELS))]
+    cells = {
+        "_missing": F.col("timestamp").isNull(), "_stamp": stamp,
+        "_stretch": F.coalesce(F.floor(F.col("seq") / F.lit(block)), F.lit(1 << 62)),
+        **{c: F.substring(stamp, 1, n) for c, n in zip(levels, STAMP_LEVELS)},
     }
-    minute = ["incident_id", "_missing", "_minute"]
-    cell = [*minute, "_stamp", "_stretch"]
-
-    def before(n: str, window) -> Column:
-        return F.sum(n).over(window) - F.col(n)
-
-    stamps = (logs if "timestamp" in logs.columns else parse_log_line(logs)).select("incident_id", "seq", "timestamp").withColumns(blocks)
-    cells = stamps.groupBy(*cell).agg(F.count("*").alias("_n"))
-    minutes = cells.groupBy(*minute).agg(F.sum("_n").alias("_n")).select(
-        *minute,
-        before("_n", Window.partitionBy("incident_id").orderBy("_missing", "_minute")).alias("_start"))
-    starts = cells.withColumn(
-        "_within", before("_n", Window.partitionBy(*minute).orderBy("_stamp", "_stretch"))
-    ).join(minutes, minute).select(*cell, (F.col("_start") + F.col("_within")).alias("_before"))
-
-    events = _assessed(logs, rules).select(
+    parents = [["incident_id"], *(["incident_id", "_missing", *levels[:i + 1]] for i in range(len(levels)))]
+    cell = ["incident_id", "_missing", *levels, "_stamp", "_stretch"]
+
+    def before(keys: list[str], order: list[str]) -> Column:
+        return F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order)) - F.col("_n")
+
+    stamps = logs if "timestamp" in logs.columns else parse_log_line(logs)
+    stamps = stamps.filter("incident_id IS NOT NULL").select("incident_id", "seq", "timestamp").withColumns(cells)
+    starts = (stamps.groupBy(*cell).agg(F.count("*").alias("_n"))
+              .withColumn("_before", before(parents[-1], ["_stamp", "_stretch"])))
+    for above, keys in zip(parents[:-1], parents[1:]):
+        order = [c for c in keys if c not in above]
+        ahead = (starts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+                 .withColumn("_ahead", before(above, order)).drop("_n"))
+        starts = starts.join(ahead, keys).withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_ahead")
+    starts = starts.drop("_n")
+
+    events = _assessed(logs, rules).filter("incident_id IS NOT NULL").select(
         "incident_id", "seq", "timestamp",
         F.substring(summary_text(F.col("rank"), F.col("log_level"), rules),
                     1, TIMELINE_SUMMARY_LENGTH).alias("summary"),
-        "severity", "category").withColumns(blocks)
+        "severity", "category").withColumns(cells)
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy(F.asc_nulls_last("seq")))
     return events.join(starts, cell).select(
-        "incident_id",
-        (F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy("seq"))
-         ).alias("position"),
+        "incident_id", (F.col("_before") + within).alias("position"),
         "seq", "timestamp", "summary", "severity", "category")
 
 
-def attach_timeline(summary: DataFrame, timeline: DataFrame, at_most: int = 100) -> DataFrame:
-    """Adds ``timeline`` as an array for incidents of up to ``at_most`` lines.
+def incident_timeline_pages(timeline: DataFrame, page_size: int = 100) -> DataFrame:
+    """The time line as arrays: one row per incident and page, pages from 0.
 
-    Longer ones get NULL: their time line is a table, read from ``timeline``.
+    Every line is on one page and no array is longer than ``page_size``, so an
+    incident of any length is complete.
     """
-    short = summary.filter(F.col("total_logs_analyzed") <= at_most).select("incident_id")
-    arrays = (timeline.filter(F.col("position") <= at_most)
-              .join(short, "incident_id", "left_semi")
-              .groupBy("incident_id")
-              .agg(F.array_sort(F.collect_list(F.struct(
-                  "position", "timestamp", "summary", "severity", "category"))).alias("timeline")))
-    return summary.join(arrays, "incident_id", "left").withColumn(
-        "timeline", F.when(F.col("total_logs_analyzed") == 0, F.array().cast(
-            "array<struct<position:bigint,timestamp:string,summary:string,severity:string,category:string>>"))
-        .otherwise(F.col("timeline")))
+    if page_size < 1:
+        raise ValueError("page_size must be positive")
+    page = F.floor((F.col("position") - 1) / F.lit(page_size)).alias("page")
+    entry = F.struct("position", "timestamp", "summary", "severity", "category")
+    return timeline.groupBy("incident_id", page).agg(F.array_sort(F.collect_list(entry)).alias("timeline"))

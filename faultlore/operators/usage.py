@@ -113,38 +113,56 @@ def usage_stats(usage: DataFrame, keys: DataFrame, as_of: Column, days: int = DE
     Parts are the four totals, ``requests_by_day`` and ``requests_by_endpoint``.
     """
     rollup = usage_rollup(usage_recent_filter(usage, as_of, days), keys)
-    totals = usage_totals(rollup, users if users is not None else keys)
-    names = ["total_requests", "successful_requests", "failed_requests", "avg_response_time_ms"]
-    total_rows = totals.unpivot(["user_id"], names, "part", "value").select(
-        "user_id", "part", F.lit(1).alias("position"), F.lit(None).cast("string").alias("item"), "value")
-
-    def listed(df: DataFrame, part: str, item: str, *order) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
-        return df.select("user_id", F.lit(part).alias("part"), place.alias("position"),
-                         F.col(item).alias("item"), F.col("requests").alias("value"))
-
-    by_day = rollup.groupBy("user_id", "day").agg(F.sum("requests").alias("requests"))
-    by_endpoint = rollup.groupBy("user_id", "endpoint").agg(
-        F.sum("requests").alias("requests"), F.max("last_used").alias("last_used"))
-    return (total_rows
-            .unionByName(listed(by_day, "requests_by_day", "day", "day"))
-            .unionByName(listed(by_endpoint, "requests_by_endpoint", "endpoint",
-                                F.desc("requests"), F.desc("last_used"), "endpoint")))
-
-
-def attribute_requests(requests: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
+    idle = (users if users is not None else keys).select("user_id").distinct()
+    zeros = idle.select("user_id", *(F.lit(None).cast("string").alias(c) for c in ("day", "endpoint")),
+                        *(F.lit(0).cast("bigint").alias(c) for c in ("requests", "successful", "response_ms")),
+                        F.lit(None).cast(rollup.schema["last_used"].dataType).alias("last_used"))
+    if users is not None:
+        rollup = rollup.join(idle, "user_id", "left_semi")
+    # the facts are read once: all parts come from one aggregate over grouping sets
+    sums = rollup.unionByName(zeros).groupingSets(
+        [["user_id"], ["user_id", "day"], ["user_id", "endpoint"]], "user_id", "day", "endpoint").agg(
+        F.grouping_id().alias("part"), F.sum("requests").alias("requests"), F.sum("successful").alias("successful"),
+        F.sum("response_ms").alias("response_ms"), F.max("last_used").alias("last_used"))
+    whole, by_day = F.col("part") == 3, F.col("part") == 1
+    order = Window.partitionBy("user_id", "part").orderBy(
+        F.when(by_day, F.col("day")), F.desc(F.when(~by_day, F.col("requests"))),
+        F.desc(F.when(~by_day, F.col("last_used"))), "endpoint")
+    place = F.row_number().over(order)
+    none = F.lit(None).cast("string")
+
+    def row(part: str, position, item, value) -> Column:
+        return F.struct(F.lit(part).alias("part"), position.alias("position"), item.alias("item"),
+                        value.cast("bigint").alias("value"))
+
+    total, good = F.col("requests"), F.col("successful")
+    average = F.when(total > 0, half_up(F.col("response_ms") / total)).otherwise(F.lit(0))
+    totals = F.array(*(row(name, F.lit(1), none, value) for name, value in (
+        ("total_requests", total), ("successful_requests", good), ("failed_requests", total - good),
+        ("avg_response_time_ms", average))))
+    rows = F.when(whole, totals).when(by_day, F.array(row("requests_by_day", place, F.col("day"), total))).otherwise(
+        F.array(row("requests_by_endpoint", place, F.col("endpoint"), total)))
+    return sums.filter(whole | (total > 0)).select("user_id", rows.alias("rows")).select("user_id", F.inline("rows"))
+
+
+def attribute_requests(requests: DataFrame, keys: DataFrame, as_of: Column, salts: int = 16) -> DataFrame:
     """Key and owner of each request by the hash of its ``presented_key``.
 
-    Unknown, inactive or expired keys leave the request unauthorised.
+    Unknown, inactive or expired keys leave the request unauthorised.  The
+    requests of one key, known or not, are dealt into ``salts`` parts, and the keys,
+    far fewer than requests, are repeated as often: one busy client is no hot task.
     """
     known = keys.select(
-        "key_hash", F.col("id").alias("api_key_id"), "user_id", "is_active", "expires_at")
-    joined = requests.withColumn("key_hash", F.sha2("presented_key", 256)).join(known, "key_hash", "left")
+        "key_hash", F.col("id").alias("api_key_id"), "user_id", "is_active", "expires_at",
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    dealt = requests.withColumns({"key_hash": F.sha2("presented_key", 256),
+                                  "_salt": F.pmod(F.xxhash64(*requests.columns), F.lit(salts)).cast("int")})
+    joined = dealt.join(known, ["key_hash", "_salt"], "left")
     good = F.coalesce(key_is_good(as_of), F.lit(False))
     return (joined
             .withColumn("authorized", good)
             .withColumns({c: F.when(F.col("authorized"), F.col(c)) for c in ("api_key_id", "user_id")})
-            .drop("key_hash", "presented_key", "is_active", "expires_at"))
+            .drop("key_hash", "_salt", "presented_key", "is_active", "expires_at"))
 
 
 def last_used_per_key(usage: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 
 from faultlore.catalogue import BUILTIN_RULES
@@ -104,17 +105,24 @@ def test_timeline_of_a_hot_incident(spark):
             ((t, s) for _, s, t in events), key=lambda e: (e[0] is None, e[0] or "", e[1]))
 
 
-def test_attach_timeline(spark):
-    logs = logs_of(spark, INCIDENTS)
-    context = spark.createDataFrame([(k, None) for k in INCIDENTS], "incident_id string, context string")
-    summary = inc.incident_summary(logs, context)
-    got = {r["incident_id"]: r["timeline"] for r in
-           inc.attach_timeline(summary, inc.incident_timeline(logs), at_most=2).collect()}
-    assert got["I1"] is None and got["I6"] == []
-    assert [e["category"] for e in got["I2"]] == ["memory", "database"]
-    five = {r["incident_id"]: r["timeline"] for r in
-            inc.attach_timeline(summary, inc.incident_timeline(logs)).collect()}["I5"]
-    assert [e["timestamp"] for e in five] == sorted(e["timestamp"] for e in five)
+def test_timeline_pages_are_complete(spark):
+    rows = [("long", i, f"{1700000000000 + i * 7919 % 1000003} ERROR disk {i}") for i in range(250)]
+    logs = spark.createDataFrame(rows, "incident_id string, seq long, raw_log string")
+    pages = {r["page"]: [e["position"] for e in r["timeline"]]
+             for r in inc.incident_timeline_pages(inc.incident_timeline(logs)).collect()}
+    assert pages == {p: list(range(100 * p + 1, min(250, 100 * p + 100) + 1)) for p in range(3)}
+
+
+def test_timeline_keeps_lines_without_seq_and_never_sorts_an_incident(spark):
+    stamps = ["1700000000123", "Feb 11 10:30:00", "2026-02-11T10:30:00Z", ""]
+    rows = [("hot", None if i == 5 else i, f"{stamps[i % 4]} ERROR x") for i in range(40)] + [(None, 1, "ERROR y")]
+    logs = spark.createDataFrame(rows, "incident_id string, seq long, raw_log string")
+    timeline = inc.incident_timeline(logs, block=4)
+    assert sorted(r["position"] for r in timeline.collect()) == list(range(1, 41))
+
+    plan = timeline._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"row_number\(\)[^\n]*windowspecdefinition\(([^\n]*)", plan)
+    assert windows and all("_stretch" in w for w in windows)
 
 
 def test_counts_shrink_before_the_shuffle(spark):

@@ -48,17 +48,35 @@ def test_append_usage_by_day(spark, tmp_path):
     for day in (1, 2):
         tables.append_usage(spark.createDataFrame(
             [("k", "A", 200, 1, dt.datetime(2024, 1, day))], schema), path)
-    got = tables.read_usage(spark, path, since=F.lit(dt.datetime(2024, 1, 1)))
+    got = tables.read_usage(spark, path, since=F.lit(dt.datetime(2024, 1, 1)), newest_first=True)
     assert [r["created_at"].day for r in got.collect()] == [2, 1]
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in \
         got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    wide = spark.range(100, numPartitions=3 * cores)
-    assert tables.spread(wide) is wide
+def test_usage_is_sorted_only_on_demand(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    spark.range(3).selectExpr("id", "timestamp_seconds(id) AS created_at").write.parquet(path)
+    assert "Sort" not in tables.read_usage(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_follow_files_and_lines(spark, tmp_path):
+    for name, n in (("a.log", 3), ("b.log", 5000), ("c.log", 1)):
+        (tmp_path / name).write_text("".join(f"{name}:{i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = sorted((r["log_id"], r["raw_log"]) for r in tables.read_raw_logs(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [t for _, t in got] == [f"{f}:{i}" for f, n in (("a.log", 3), ("b.log", 5000), ("c.log", 1)) for i in range(n)]
+    assert [i for i, _ in got] == list(range(5004))
+
+
+def test_given_ids_are_never_mixed(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"log_id": 7, "raw_log": "a"}\n{"raw_log": "b"}\n')
+    got = {r["raw_log"]: r["log_id"] for r in tables.read_raw_logs(spark, str(tmp_path), fmt="json").collect()}
+    assert got == {"a": 7, "b": None}
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):
