@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 #: Most languages of one document, rounds of the estimate, and the price of a language in log n.
 LARGEST_SET, ROUNDS, PENALTY = 3, 8, 3.0
 SMOOTHING = 0.5
+#: Text handled at once, in bytes; trigrams and their probabilities take about a hundred times as much memory.
+SLICE = 1 << 20
 _LETTER: np.ndarray | None = None
 
 
@@ -64,7 +66,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part, _, _ in slices(batch):
+            for part, _, _ in slices(batch, most=SLICE):
                 langs = np.array(column(part, "lang").to_pylist(), object)
                 of, bucket, _ = trigrams(texts(part).to_pylist())
                 for lang in sorted(set(langs)):
@@ -126,7 +128,7 @@ def identified(docs: DataFrame, langs: list[str], probabilities: np.ndarray) ->
     """doc_id, lang_pred, score and languages (``lang:share``, comma-joined, by share) of each row."""
     def identify(batches):
         for batch in batches:
-            for part, _, _ in slices(batch):
+            for part, _, _ in slices(batch, most=SLICE):
                 n = len(part)
                 names, scores, sets = ["und"] * n, [0.0] * n, [""] * n
                 if langs:
@@ -152,7 +154,7 @@ def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            for part, _, _ in slices(batch):
+            for part, _, _ in slices(batch, most=SLICE):
                 mask = np.zeros(len(part), bool)
                 if langs:
                     of, bucket, _ = trigrams(texts(part).to_pylist())
