@@ -66,6 +66,13 @@ def test_at_most_ten_actions_in_first_seen_order(spark):
     assert got["root_cause_chain"] == [rules[r].root_cause for r in order]
 
 
+def test_two_rules_can_fill_the_actions(spark):
+    got = inc.incident_summary(logs_of(spark, {"A": [LINES["F06"], LINES["F02"]]})).first()
+    rules = {r.rule_id: r for r in BUILTIN_RULES}
+    first, second = rules["SYS_DISK_FULL"].recommended_fixes, rules["DB_CONN_REFUSED"].recommended_fixes
+    assert len(first) < 10 and got["recommended_actions"] == [*first, *second][:10]
+
+
 def test_aggregate_severity(spark):
     groups = {"a": [60, 65, 70], "b": [85, 90], "c": [95] * 10, "d": [40], "e": [55] * 5}
     rows = [(g, s, "CRITICAL" if s >= 80 else "HIGH" if s >= 55 else "MEDIUM") for g, v in groups.items() for s in v]
