@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sql as q
+from checks.derived import derived_keys, derived_requests, derived_usage
+from checks.folders import shared_folder
+from checks.sample_logs import sample_logs
 from faultlore import catalogue as cat
 from faultlore.catalogue import BUILTIN_RULES
 from faultlore.functions import metadata as md
@@ -24,9 +27,8 @@ from faultlore.operators import incidents as inc
 from faultlore.operators import matching as mt
 from faultlore.operators import parsing as ps
 from faultlore.operators import usage as us
+from faultlore.plans import jobs
 from faultlore.sources import tables
-from faultlore.sources.derived import derived_keys, derived_requests, derived_usage
-from faultlore.sources.sample_logs import sample_logs
 from faultlore.streaming import operators as st
 from faultlore.streaming.runs import read_stream_table, run_available
 
@@ -86,8 +88,8 @@ def as_of() -> Column:
     return F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
 
 
-def _run() -> str:
-    return uuid.uuid4().hex
+def folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def listed(column) -> Column:
@@ -110,7 +112,7 @@ def stamp(column) -> Column:
 @check(q.sql(q.LOGS, "SELECT log_id, seq, incident_id, raw_log, coalesce(source, '') AS source FROM logs"))
 def read_raw_logs(spark, sf_dir):
     """Lines written to a Parquet table and read back through the reader."""
-    path = f"{tables.shared_folder(spark)}/raw-logs-{_run()}"
+    path = folder(spark, "raw-logs")
     logs_of(spark, sf_dir).write.parquet(path)
     logs = tables.read_raw_logs(spark, path, fmt="parquet")
     return logs.select("log_id", "seq", "incident_id", "raw_log", F.coalesce("source", F.lit("")).alias("source"))
@@ -149,23 +151,20 @@ def rule_by_id(spark, sf_dir):
   count(DISTINCT rule_id) AS patterns_seen, count(rule_id) AS known_logs, count(*) AS logs FROM assessed"""))
 def kb_stats(spark, sf_dir):
     """Size of the catalogue and how much of the logs it covers."""
+    size = cat.kb_stats(cat.read_rules(spark)).withColumn("categories", listed("categories"))
     won = ex.best_match(busy_logs(spark, sf_dir)).groupBy("rank").agg(F.count("*").alias("n"))
-    known = F.col("rule_id").isNotNull()
-    # Both sides have one row per rule of the catalogue.
-    return cat.read_rules(spark).select("rank", "rule_id", "category").join(won, "rank", "full").agg(
-        F.count("rule_id").alias("total_patterns"),
-        listed(F.array_distinct(F.transform(
-            F.array_sort(F.collect_list(F.when(known, F.struct("rank", "category")))),
-            lambda c: c["category"]))).alias("categories"),
-        F.count_if(known & (F.col("n") > 0)).alias("patterns_seen"),
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("known_logs"),
-        F.sum("n").alias("logs"))
+    known = F.col("rank") > 0
+    cover = won.agg(F.count_if(known).alias("patterns_seen"),
+                    F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("known_logs"), F.sum("n").alias("logs"))
+    # one row each, laid on top of each other
+    columns = [*size.columns, *cover.columns]
+    return size.unionByName(cover, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in columns])
 
 
 @check(q.sql(q.USAGE, "SELECT id, api_key_id, endpoint, status_code, response_time_ms, "
              "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM usage"))
 def read_usage(spark, sf_dir):
-    path = f"{tables.shared_folder(spark)}/usage-{_run()}"
+    path = folder(spark, "usage")
     usage_of(spark, sf_dir).write.parquet(path)
     return tables.read_usage(spark, path).withColumn("created_at", stamp("created_at"))
 
@@ -183,7 +182,7 @@ def keys_flat(keys: DataFrame) -> DataFrame:
 
 @check(q.sql(q.USAGE, KEYS_SQL))
 def read_keys(spark, sf_dir):
-    path = f"{tables.shared_folder(spark)}/keys-{_run()}"
+    path = folder(spark, "keys")
     keys_of(spark, sf_dir).write.parquet(path)
     return keys_flat(tables.read_keys(spark, path))
 
@@ -191,7 +190,7 @@ def read_keys(spark, sf_dir):
 @check(q.sql(q.USAGE, "SELECT endpoint, strftime(created_at, '%Y-%m-%d') AS day, 2 * count(*) AS requests FROM usage GROUP BY ALL"))
 def append_usage(spark, sf_dir):
     """Facts appended twice, then counted from the table."""
-    path = f"{tables.shared_folder(spark)}/appended-{_run()}"
+    path = folder(spark, "appended")
     for _ in range(2):
         tables.append_usage(usage_of(spark, sf_dir), path)
     return (spark.read.parquet(path).groupBy("endpoint", F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -219,7 +218,7 @@ def explained_flat(df: DataFrame) -> DataFrame:
 
 @check(q.sql(q.EXPLAINED, EXPLAINED_FLAT))
 def write_explanations(spark, sf_dir):
-    path = f"{tables.shared_folder(spark)}/explanations-{_run()}"
+    path = folder(spark, "explanations")
     explained = ex.explain_logs(busy_logs(spark, sf_dir))
     tables.write_explanations(explained, path, fmt="json")
     return explained_flat(spark.read.schema(explained.schema).json(path))
@@ -324,7 +323,10 @@ def register_fields() -> None:
            lambda: md.override_source(md.extract_source(F.col("scan")), F.col("source")))
 
 
-@check(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '(?:https?://[^\s"'']+)|(?:/[a-zA-Z0-9._~:/?#\[\]@!$&''()*+,;=-]+)'), ''), '') AS url FROM pages""")
+URL_SQL = q.FIELDS["url"].replace("scan", "url")
+
+
+@check(f"SELECT page_id, coalesce({URL_SQL}, '') AS url FROM pages")
 def extract_url_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", F.coalesce(md.extract_url(F.col("url")), F.lit("")).alias("url"))
@@ -337,6 +339,14 @@ def parse_log_line(spark, sf_dir):
         "log_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ps.METADATA_COLUMNS])
 
 
+@check("""SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_log, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq
+FROM documents""")
+def explode_batch(spark, sf_dir):
+    """Documents as batches of lines."""
+    batches = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("logs"))
+    return tables.explode_batch(batches, "logs", "doc_id")
+
+
 @check(q.sql(q.EXPLAINED, "SELECT log_id, metadata FROM explained"))
 def metadata_map(spark, sf_dir):
     df = ex.best_match(ps.parse_log_line(busy_logs(spark, sf_dir)))
@@ -417,44 +427,30 @@ def attach_explanation(spark, sf_dir):
 # ── severity ────────────────────────────────────────────────────────
 
 
-def matched_of(spark, sf_dir) -> DataFrame:
-    """Best rule with its own severity, for the steps of the score."""
-    severities = F.array(*[F.lit(r.severity) for r in BUILTIN_RULES])
-    df = ex.best_match(ps.parse_log_line(busy_logs(spark, sf_dir)))
-    return (df.filter(F.col("rank") > 0)
-            .withColumn("rule_severity", F.element_at(severities, F.col("rank")))
-            .withColumn("base", sv.base_score(F.col("rule_severity")))
-            .withColumn("modifier", sv.modifier_applied(BUILTIN_RULES))
-            .withColumn("modified", F.coalesce(F.col("modifier.score"), F.col("base"))))
+def steps_of(spark, sf_dir) -> DataFrame:
+    """Lines a rule explains, with the steps of their score."""
+    matched = ex.best_match(ps.parse_log_line(busy_logs(spark, sf_dir)))
+    return ex.severity_steps(matched).filter(F.col("rank") > 0)
 
 
 def _score(name: str, sql_expr: str, value: Callable[[], Column]):
     def query(spark, sf_dir):
-        return matched_of(spark, sf_dir).select("log_id", value().cast("int").alias("value"))
+        return steps_of(spark, sf_dir).select("log_id", value().cast("int").alias("value"))
     REGISTRY[name] = Check(query, q.sql(
         q.ASSESSED, f"SELECT log_id, ({sql_expr})::INT AS value FROM assessed WHERE rank IS NOT NULL"))
 
 
 def register_scores() -> None:
-    def blended():
-        return sv.level_blend(F.col("modified"), F.col("log_level"))
-
-    def in_context():
-        return sv.context_boost(blended(), F.col("raw_log"))
-
-    def repeated():
-        return sv.repetition_boost(in_context(), F.col("raw_log"))
-
-    _score("base_score", "base", lambda: F.col("base"))
-    _score("level_blend", "blended", blended)
-    _score("context_boost", "in_context", in_context)
-    _score("repetition_boost", "repeated", repeated)
-    _score("severity_clamp", "severity_score", lambda: sv.severity_clamp(repeated()))
+    _score("base_score", "base", lambda: F.col("rule_score"))
+    _score("level_blend", "blended", lambda: F.col("blended"))
+    _score("context_boost", "in_context", lambda: F.col("in_context"))
+    _score("repetition_boost", "repeated", lambda: F.col("repeated"))
+    _score("severity_clamp", "severity_score", lambda: sv.severity_clamp(F.col("repeated")))
 
 
 @check(q.sql(q.ASSESSED, "SELECT log_id, modified::INT AS score, modifier_reason AS reason FROM assessed WHERE rank IS NOT NULL"))
 def apply_modifiers(spark, sf_dir):
-    return matched_of(spark, sf_dir).select(
+    return steps_of(spark, sf_dir).select(
         "log_id", F.col("modified").alias("score"), F.coalesce("modifier.reason", F.lit("")).alias("reason"))
 
 
@@ -490,6 +486,11 @@ def explain_logs(spark, sf_dir):
     return explained_flat(ex.explain_logs(busy_logs(spark, sf_dir)))
 
 
+@check(q.sql(q.EXPLAINED, EXPLAINED_FLAT))
+def job_explain_table(spark, sf_dir):
+    return explained_flat(jobs.explain_table(busy_logs(spark, sf_dir), folder(spark, "explain-table")))
+
+
 # ── incidents ───────────────────────────────────────────────────────
 
 
@@ -513,13 +514,13 @@ def severity_counts(spark, sf_dir):
 
 @check(q.sql(q.INCIDENTS, "SELECT incident_id, patterns FROM incidents_seen"))
 def distinct_patterns(spark, sf_dir):
-    seen = inc.incident_rules(busy_logs(spark, sf_dir))
-    return seen.select("incident_id", F.size(F.filter("by_rule", lambda r: r["rank"] > 0)).cast("bigint").alias("patterns"))
+    facts = inc.incident_facts(busy_logs(spark, sf_dir))
+    return facts.select("incident_id", F.size("known").cast("bigint").alias("patterns"))
 
 
 @check(q.sql(q.LOGS, "SELECT incident_id, count(*) AS total_logs FROM logs GROUP BY ALL"))
 def total_logs(spark, sf_dir):
-    return logs_of(spark, sf_dir).groupBy("incident_id").agg(F.count("*").alias("total_logs"))
+    return inc.incident_facts(busy_logs(spark, sf_dir)).select("incident_id", "total_logs")
 
 
 INCIDENT_FIELDS = {
@@ -542,12 +543,12 @@ CORRELATION_NAMES = ("corr_db_timeout", "corr_memory_process", "corr_auth_securi
                      "corr_disk_database", "corr_config_application")
 
 
-def _correlation(name: str, correlation: inc.Correlation):
+def _correlation(name: str, correlation: inc.Correlation, condition: str):
     def query(spark, sf_dir):
         summary = inc.incident_summary(busy_logs(spark, sf_dir), correlations=[correlation])
         return summary.select("incident_id", (F.size("correlations") == 1).alias("holds"))
     REGISTRY[name] = Check(query, q.sql(
-        q.INCIDENTS, f"SELECT incident_id, coalesce({q._correlation(correlation)}, false) AS holds FROM i1"))
+        q.INCIDENTS, f"SELECT incident_id, coalesce({condition}, false) AS holds FROM i1"))
 
 
 @check(q.sql(q.INCIDENTS, """SELECT incident_id, nth::INT AS nth, fix FROM fixes_placed WHERE nth <= 10"""))
@@ -558,10 +559,8 @@ def top_fixes(spark, sf_dir):
 
 @check(q.sql(q.INCIDENTS, "SELECT incident_id, top_category FROM tops"))
 def top_category(spark, sf_dir):
-    """From the counts per category alone: highest count, ties by first seen."""
-    counts = inc.category_breakdown(assessed_of(spark, sf_dir), "incident_id")
-    return counts.groupBy("incident_id").agg(
-        F.max_by("category", F.struct("logs", -F.col("first_seq"))).alias("top_category"))
+    """Highest count of lines, ties by first seen."""
+    return inc.incident_facts(busy_logs(spark, sf_dir)).select("incident_id", "top_category")
 
 
 @check(q.sql(q.INCIDENTS, """SELECT category, array_to_string(list_transform(string_split(category, '_'),
@@ -652,7 +651,7 @@ SELECT row_number() OVER (ORDER BY doc_id, line) - 1 AS log_id, row_number() OVE
     'docs' AS source FROM kept""")
 def read_raw_logs_text(spark, sf_dir):
     """Lines of documents as text files in order of ids, read back with ids in file order."""
-    path = f"{tables.shared_folder(spark)}/raw-text-{_run()}"
+    path = folder(spark, "raw-text")
     lines = tables.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").filter("raw_log NOT LIKE '%\\r%'")
     (lines.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id", "seq").select("raw_log").write.text(path))
     return tables.read_raw_logs(spark, path, source="docs")
@@ -742,14 +741,14 @@ def rate_limit_breaches(spark, sf_dir):
 
 
 def stream_logs(spark, sf_dir) -> DataFrame:
-    events = read_stream_table(spark, sf_dir, "events")
+    events = read_stream_table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
     return sample_logs(events.withColumn("event_time", F.col("ts").cast("timestamp")), "event_time")
 
 
 @check(q.sql(q.EXPLAINED, EXPLAINED_FLAT))
 def stream_explain(spark, sf_dir):
     explained = st.stream_explain(stream_logs(spark, sf_dir))
-    return explained_flat(run_available(explained, "explained"))
+    return explained_flat(run_available(explained, folder(spark, "explained")))
 
 
 # Append mode emits the windows that end by the watermark.
@@ -781,7 +780,7 @@ def windows_flat(df: DataFrame) -> DataFrame:
 @check(_window_sql("", f"""SELECT src, time_bucket(INTERVAL 1 HOUR, ts) AS w_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS w_end,
   {WINDOW_COUNTS} FROM timed GROUP BY ALL"""))
 def stream_incident_windows(spark, sf_dir):
-    return windows_flat(run_available(st.stream_incident_windows(stream_logs(spark, sf_dir)), "windows"))
+    return windows_flat(run_available(st.stream_incident_windows(stream_logs(spark, sf_dir)), folder(spark, "windows")))
 
 
 SESSIONS_SQL = """, gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY src ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM timed),
@@ -791,7 +790,7 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY ts ROWS UNBOUN
 @check(_window_sql(SESSIONS_SQL, f"""SELECT src, min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTES AS w_end, {WINDOW_COUNTS}
   FROM numbered GROUP BY src, session"""))
 def stream_incident_sessions(spark, sf_dir):
-    return windows_flat(run_available(st.stream_incident_sessions(stream_logs(spark, sf_dir)), "sessions"))
+    return windows_flat(run_available(st.stream_incident_sessions(stream_logs(spark, sf_dir)), folder(spark, "sessions")))
 
 
 @check("""SELECT endpoint, window_start, count(*) AS total_requests, count(*) FILTER (endpoint <> 'error') AS successful_requests,
@@ -802,7 +801,7 @@ FROM (SELECT event_type AS endpoint, strftime(time_bucket(INTERVAL 1 MINUTE, ts)
 def stream_usage_by_minute(spark, sf_dir):
     events = read_stream_table(spark, sf_dir, "events")
     usage = derived_usage(events).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return run_available(st.stream_usage_by_minute(usage), "usage").withColumn("window_start", stamp("window_start"))
+    return run_available(st.stream_usage_by_minute(usage), folder(spark, "usage")).withColumn("window_start", stamp("window_start"))
 
 
 @check("""SELECT event_type AS client, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests
@@ -810,7 +809,7 @@ FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= """ + CL
 def stream_rate_limit_breaches(spark, sf_dir):
     requests = read_stream_table(spark, sf_dir, "events").select(
         F.col("event_type").alias("client"), F.col("ts").cast("timestamp").alias("created_at"))
-    return run_available(st.stream_rate_limit_breaches(requests, limit=3, window="1 hour"), "breaches").withColumn(
+    return run_available(st.stream_rate_limit_breaches(requests, limit=3, window="1 hour"), folder(spark, "breaches")).withColumn(
         "window_start", stamp("window_start"))
 
 
@@ -819,5 +818,5 @@ register_stages()
 register_scores()
 for _name, (_expr, _column) in INCIDENT_FIELDS.items():
     _incident_field(_name, _expr, _column)
-for _name, _corr in zip(CORRELATION_NAMES, inc.CORRELATIONS, strict=True):
-    _correlation(_name, _corr)
+for _name, _corr, _condition in zip(CORRELATION_NAMES, inc.CORRELATIONS, q.CORRELATION_CONDITIONS, strict=True):
+    _correlation(_name, _corr, _condition)

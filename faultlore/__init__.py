@@ -1,6 +1,6 @@
 """Explain log lines, sum up incidents and report API usage, on Spark tables and streams."""
 
-from faultlore.catalogue import BUILTIN_RULES, Modifier, Rule, read_rules, rules_from_json
+from faultlore.catalogue import BUILTIN_RULES, Modifier, Rule, read_rule_file, read_rules, rules_from_json
 from faultlore.operators.explaining import assess_logs, explain_logs, known_only
 from faultlore.operators.incidents import (
     CORRELATIONS, Correlation, incident_summary, incident_timeline, incident_timeline_pages)
@@ -12,5 +12,5 @@ __all__ = [
     "BUILTIN_RULES", "CORRELATIONS", "Correlation", "Modifier", "Rule", "assess_logs",
     "attribute_requests", "event_time", "explain_logs", "incident_summary",
     "incident_timeline", "incident_timeline_pages", "keyword_candidates", "known_only", "parse_log_line", "rank_candidates",
-    "rate_limit_breaches", "read_rules", "reject_empty_logs", "rules_from_json", "usage_stats",
+    "rate_limit_breaches", "read_rule_file", "read_rules", "reject_empty_logs", "rules_from_json", "usage_stats",
 ]

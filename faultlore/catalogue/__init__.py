@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from faultlore.catalogue.advice import ADVICE
 from faultlore.catalogue.signals import CATEGORIES, SIGNALS
+from faultlore.functions.regexes import in_dialect
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -95,6 +96,8 @@ def check_rules(rules: Sequence[Rule]) -> None:
         for rx in (*r.patterns, *(m.condition for m in r.modifiers)):
             if re.compile(rx).search("") is not None:
                 raise ValueError(f"{r.rule_id}: regex {rx!r} matches empty text")
+            if not in_dialect(rx):
+                raise ValueError(f"{r.rule_id}: regex {rx!r} has look-around or back-references")
 
 
 def rules_from_json(path: str) -> tuple[Rule, ...]:
@@ -111,6 +114,26 @@ def rules_from_json(path: str) -> tuple[Rule, ...]:
     return rules
 
 
+def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table like that of ``read_rules``, in order of ``rank``, checked.
+
+    A catalogue is small by nature: it becomes literals of the plan.
+    """
+    given = [f.name for f in RULES_SCHEMA if f.name in table.columns and f.name != "rank"]
+    rules = []
+    for row in table.orderBy("rank").select(*given).toLocalIterator():
+        fields = {k: tuple(v) if isinstance(v, list) else v for k, v in row.asDict().items() if v is not None}
+        fields["modifiers"] = tuple(Modifier(**m.asDict()) for m in fields.get("modifiers", ()))
+        rules.append(Rule(**fields))
+    check_rules(rules)
+    return tuple(rules)
+
+
+def read_rule_file(spark: SparkSession, path: str, fmt: str = "json") -> tuple[Rule, ...]:
+    """Rules from a file on any storage Spark reads; each record carries its ``rank``."""
+    return rules_from_table(spark.read.format(fmt).schema(RULES_SCHEMA).load(path))
+
+
 def rules_to_json(rules: Iterable[Rule], path: str) -> None:
     with open(path, "w", encoding="utf-8") as fh:
         json.dump([asdict(r) for r in rules], fh, indent=1, ensure_ascii=False)

@@ -1,18 +1,35 @@
 """Bring rule regexes to Spark: dialect, and the text any match must contain.
 
 Rules are written in one plain dialect (no look-around, no back-references).
-Java differs from it in what ``.`` and ``\\s`` cover, so these are spelt out.
+Java differs from it in what ``.``, ``\\s``, ``\\S`` and ``\\b`` cover, so these are spelt out.
 """
 
 from __future__ import annotations
 
 import re
-import re._parser as re_parser
 from collections.abc import Iterable
 
+try:
+    import re._parser as re_parser
+except ImportError:  # its name before Python 3.11
+    import sre_parse as re_parser
+
 from faultlore.functions.text import WHITESPACE
 
 _TOKEN = re.compile(r"\\.|\[\^?|\]|\.", re.S)
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_BEYOND_DIALECT = (re_parser.ASSERT, re_parser.ASSERT_NOT, re_parser.GROUPREF, re_parser.GROUPREF_EXISTS)
+
+
+def in_dialect(rx: str) -> bool:
+    """Whether the regex does without look-around and back-references."""
+    def plain(item) -> bool:
+        if isinstance(item, (list, tuple, re_parser.SubPattern)):
+            return all(map(plain, item))
+        return not any(item is op for op in _BEYOND_DIALECT)
+
+    return plain(re_parser.parse(rx))
 
 
 def spark_regex(rx: str, ignore_case: bool = True) -> str:
@@ -24,6 +41,10 @@ def spark_regex(rx: str, ignore_case: bool = True) -> str:
         t = m.group()
         if t == r"\s":
             return WHITESPACE if in_class else f"[{WHITESPACE}]"
+        if t == r"\S" and not in_class:
+            return f"[^{WHITESPACE}]"
+        if t == r"\b" and not in_class:
+            return _BOUNDARY
         if t.startswith("\\"):
             return t
         if t == "." and not in_class:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters the rule dialect counts as white space.
@@ -45,3 +45,12 @@ def replace_first(text: Column, token: Column, by: str) -> Column:
 def half_up(value: Column) -> Column:
     """Round half up to a whole number."""
     return F.floor(value + F.lit(0.5))
+
+
+def utc_day(df: DataFrame, name: str) -> Column:
+    """The day of a time stamp column in UTC; one without a time zone is in UTC already."""
+    at = F.col(name)
+    if df.schema[name].dataType.typeName() != "timestamp":
+        return F.to_date(at)
+    micros, day = F.unix_micros(at), F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int"))

@@ -68,28 +68,37 @@ def best_match(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFr
             .select("*", of_rule(ids).alias("pattern_id"), of_rule(categories).alias("category")))
 
 
+def _rule_severity(rules: Sequence[Rule]) -> Column:
+    return F.try_element_at(constant([r.severity for r in rules], "array<string>"), F.nullif("rank", F.lit(0)))
+
+
+def severity_steps(matched: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
+    """Adds the steps of the score of lines a rule matches, each from the one before:
+    ``rule_score``, ``modifier`` (score, reason), ``modified``, ``blended``,
+    ``in_context`` and ``repeated``."""
+    line = F.col("raw_log")
+    return (matched
+            .select("*", sv.base_score(_rule_severity(rules)).alias("rule_score"),
+                    sv.modifier_applied(rules).alias("modifier"))
+            .select("*", F.coalesce("modifier.score", "rule_score").alias("modified"))
+            .select("*", sv.level_blend(F.col("modified"), F.col("log_level")).alias("blended"))
+            .select("*", sv.context_boost(F.col("blended"), line).alias("in_context"))
+            .select("*", sv.repetition_boost(F.col("in_context"), line).alias("repeated")))
+
+
 def calculate_severity(matched: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
     """Adds ``severity``, ``severity_score``, ``severity_reason`` from ``raw_log``,
     ``rank`` and ``log_level``."""
-    line, rank, level = F.col("raw_log"), F.col("rank"), F.col("log_level")
-    known = rank > 0
-    rule_severity = F.try_element_at(
-        constant([r.severity for r in rules], "array<string>"), F.nullif(rank, F.lit(0)))
-    rule_id = F.col("pattern_id")
-    base = F.coalesce(F.col("_modifier.score"), sv.base_score(rule_severity))
-    boosted = sv.repetition_boost(sv.context_boost(sv.level_blend(F.col("_base"), level), line), line)
-    score = F.col("severity_score")
-    kept = matched.columns
-    return (matched
-            .select("*", sv.modifier_applied(rules).alias("_modifier"))
-            .select("*", base.alias("_base"))
-            .select(*kept, "_modifier", F.when(known, sv.severity_clamp(boosted))
+    level, rule_id = F.col("log_level"), F.col("pattern_id")
+    known, score, kept = F.col("rank") > 0, F.col("severity_score"), matched.columns
+    return (severity_steps(matched, rules)
+            .select(*kept, "modifier", F.when(known, sv.severity_clamp(F.col("repeated")))
                     .otherwise(sv.unknown_score(level)).cast("int").alias("severity_score"))
             .select(
                 *kept, sv.score_to_level(score).alias("severity"), "severity_score",
                 F.when(known, F.coalesce(
-                    F.col("_modifier.reason"),
-                    F.concat(F.lit("Base severity: "), rule_severity,
+                    F.col("modifier.reason"),
+                    F.concat(F.lit("Base severity: "), _rule_severity(rules),
                              F.lit(" (pattern: "), rule_id, F.lit(")"))))
                 .otherwise(F.concat(
                     F.lit("No known pattern matched. Severity derived from log level: "),

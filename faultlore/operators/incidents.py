@@ -197,21 +197,15 @@ def incident_summary_text() -> Column:
             F.lit("Correlations found: "), F.array_join("correlations", "; "), F.lit("."))))
 
 
-def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
-                     rules: Sequence[Rule] = BUILTIN_RULES,
-                     correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
-    """One summary row per incident.
-
-    ``logs`` has ``incident_id, seq, raw_log``, or the columns of a table that
-    ``plans.jobs`` assessed before; ``seq`` is unique per incident and gives the
-    input order.  ``incidents`` (``incident_id, context``) adds context
-    to titles and yields the empty summary for incidents without any line.
-    """
+def incident_facts(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
+                   correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
+    """What a summary says of each incident: counts, ``severity``, ``known`` (ranks of
+    the rules seen), ``breakdown``, ``top_category``, ``affected_systems``,
+    ``root_cause_chain``, ``recommended_actions`` and ``correlations``."""
     ids = [UNKNOWN] + [r.rule_id for r in rules]
     categories = [UNKNOWN] + [r.category for r in rules]
     causes = [UNKNOWN_ROOT_CAUSE] + [r.root_cause for r in rules]
     fixes = [list(UNKNOWN_FIXES)] + [list(r.recommended_fixes) for r in rules]
-    summaries = [""] + [r.summary for r in rules]
 
     seen = with_aggregate_severity(incident_rules(logs, rules))
     seen = seen.withColumns({
@@ -223,7 +217,7 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
         "categories": F.array_distinct(F.transform("by_rule", lambda r: r["category"])),
         "known": F.transform(F.filter("by_rule", lambda r: r["rank"] > 0), lambda r: r["rank"]),
     })
-    seen = seen.withColumns({
+    return seen.withColumns({
         "breakdown": F.transform("categories", lambda c, i: F.struct(
             F.aggregate(F.filter("by_rule", lambda r: r["category"] == c), F.lit(0).cast("bigint"),
                         lambda total, r: total + r["logs"]).alias("logs"),
@@ -236,13 +230,26 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
         "correlations": detect_correlations(
             F.concat("categories", F.transform("known", lambda r: _by_rank(ids, "string", r))),
             correlations),
-    })
+    }).withColumn("top_category", F.array_max("breakdown")["category"])
+
+
+def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
+                     rules: Sequence[Rule] = BUILTIN_RULES,
+                     correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
+    """One summary row per incident.
+
+    ``logs`` has ``incident_id, seq, raw_log``, or the columns of a table that
+    ``plans.jobs`` assessed before; ``seq`` is unique per incident and gives the
+    input order.  ``incidents`` (``incident_id, context``) adds context
+    to titles and yields the empty summary for incidents without any line.
+    """
+    seen = incident_facts(logs, rules, correlations)
+    summaries = [""] + [r.summary for r in rules]
     first_summary = F.coalesce(_by_rank(
         summaries, "string", F.try_element_at("known", F.lit(1))), F.lit(""))
     summary = seen.select(
         "incident_id",
-        incident_title(F.col("severity"), F.size("known"), first_summary,
-                       F.array_max("breakdown")["category"]).alias("title"),
+        incident_title(F.col("severity"), F.size("known"), first_summary, F.col("top_category")).alias("title"),
         incident_summary_text().alias("summary"),
         "severity", "severity_score", "severity_reason",
         "root_cause_chain", "affected_systems", "recommended_actions",

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.catalogue import BUILTIN_RULES, Rule
+from faultlore.catalogue import BUILTIN_RULES, Rule, check_rules
 from faultlore.functions.regexes import (
     prefix_tree_regex, required_text, spark_regex, sql_text)
 from faultlore.functions.text import constant, utf16_length
@@ -68,6 +68,7 @@ def _search(rules: tuple[Rule, ...]) -> tuple[str, list[list[int]], list[int], s
     Mark ``n`` is regex number ``n``: try it.  Marks beyond the number of regexes
     stand for further groups of literals, without which a trial is in vain.
     """
+    check_rules(rules)
     regexes = [(rank, rx) for rank, r in enumerate(rules, start=1) for rx in r.patterns]
     groups = [required_text(rx) for _, rx in regexes]
     uses = Counter(t for gs in groups for g in gs for t in g)

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlore.functions.text import half_up
+from faultlore.functions.text import half_up, utc_day
 
 # Fixed values from here on.
 
@@ -60,9 +60,9 @@ def usage_for_user(usage: DataFrame, keys: DataFrame, user_id) -> DataFrame:
 
 
 def usage_rollup(usage: DataFrame, keys: DataFrame) -> DataFrame:
-    """Requests per owner, day and endpoint; every usage report is a sum of these."""
+    """Requests per owner, day (UTC) and endpoint; every usage report is a sum of these."""
     per_key = usage.groupBy(
-        "api_key_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "endpoint"
+        "api_key_id", F.date_format(utc_day(usage, "created_at"), "yyyy-MM-dd").alias("day"), "endpoint"
     ).agg(
         F.count("*").alias("requests"),
         F.count_if(status_class(F.col("status_code"))).alias("successful"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultlore.functions.text import utc_day
+
 RAW_LOGS_DDL = "log_id bigint, seq bigint, incident_id string, raw_log string, source string"
 
 
@@ -84,8 +84,8 @@ def read_keys(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def append_usage(usage: DataFrame, path: str) -> None:
-    """Append request facts, one folder per day so that reports read only their days."""
-    (usage.withColumn("day", F.to_date("created_at"))
+    """Append request facts, one folder per day (UTC) so that reports read only their days."""
+    (usage.withColumn("day", utc_day(usage, "created_at"))
      .write.mode("append").partitionBy("day").parquet(path))
 
 
@@ -97,19 +97,3 @@ def write_explanations(explained: DataFrame, path: str, fmt: str = "parquet",
 def explanations_json(explained: DataFrame) -> DataFrame:
     """Each explanation as one JSON text."""
     return explained.select(F.to_json(F.struct("*")).alias("explanation"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, for checkpoints and written tables.
-
-    Clusters name it in ``spark.checkpoint.dir``.  Only a local session may do
-    without and gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="faultlore-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlore.sources.tables import shared_folder
-
 
 def read_stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A Parquet table (file or folder) of ``folder`` as a stream."""
@@ -17,16 +13,15 @@ def read_stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame
     return spark.readStream.schema(schema).parquet(path[:-1] + "[t]")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process all data there is into a Parquet table and return that table.
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Process all data there is into a Parquet table in ``folder`` and return that table.
 
-    Sink and checkpoint lie in the shared folder, so a lost executor or driver
-    costs at most the batch at hand.
+    Sink and checkpoint lie in the folder, which all executors share, so a lost
+    executor or driver costs at most the batch at hand.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
+             .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from faultlore.operators import explaining as ex
 from faultlore.operators import incidents as inc
 from faultlore.plans import jobs
-from faultlore.sources.derived import derived_keys, derived_usage
-from faultlore.sources.sample_logs import sample_logs
+from checks.derived import derived_keys, derived_usage
+from checks.sample_logs import sample_logs
 
 SF = "/root/testdata/sf0.001"
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultlore.operators import explaining as ex
+from checks.folders import shared_folder
 from faultlore.sources import tables
 
 
@@ -80,7 +81,7 @@ def test_given_ids_are_never_mixed(spark, tmp_path):
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):
-    assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def test_cluster_without_shared_folder():
@@ -93,4 +94,4 @@ def test_cluster_without_shared_folder():
         sparkContext = type("C", (), {"master": "yarn"})
 
     with pytest.raises(ValueError):
-        tables.shared_folder(Session())
+        shared_folder(Session())

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from faultlore.operators import explaining as ex
-from faultlore.sources.sample_logs import sample_logs
+from checks.sample_logs import sample_logs
 from faultlore.streaming import operators as st
 from faultlore.streaming.runs import read_stream_table, run_available
 
@@ -33,22 +33,22 @@ def closed(df, logs):
     return df.filter(F.col("window_end") <= F.lit(latest - dt.timedelta(minutes=10)))
 
 
-def test_stream_explains_like_batch(spark):
-    streamed = run_available(st.stream_explain(stream_logs(spark)), "explain")
+def test_stream_explains_like_batch(spark, tmp_path):
+    streamed = run_available(st.stream_explain(stream_logs(spark)), str(tmp_path))
     batch = ex.explain_logs(batch_logs(spark))
     assert sorted(map(repr, streamed.collect())) == sorted(map(repr, batch.collect()))
 
 
-def test_windows(spark):
-    streamed = run_available(st.stream_incident_windows(stream_logs(spark)), "windows")
+def test_windows(spark, tmp_path):
+    streamed = run_available(st.stream_incident_windows(stream_logs(spark)), str(tmp_path))
     batch = closed(st.stream_incident_windows(batch_logs(spark), late=None), batch_logs(spark))
     got = rows(streamed)
     assert len(got) > 100 and got == rows(batch)
 
 
-def test_sessions(spark):
+def test_sessions(spark, tmp_path):
     """The table is counted per second first, the stream is not; both agree."""
-    streamed = run_available(st.stream_incident_sessions(stream_logs(spark), gap_seconds=7200), "sessions")
+    streamed = run_available(st.stream_incident_sessions(stream_logs(spark), gap_seconds=7200), str(tmp_path))
     batch = closed(st.stream_incident_sessions(batch_logs(spark), gap_seconds=7200, late=None), batch_logs(spark))
     got = rows(streamed)
     assert len(got) > 100 and got == rows(batch)
