@@ -38,7 +38,8 @@ from faultlore.llm.quality import let
 BUCKETS = 4096
 #: Probability from which a candidate becomes a span; weight of the belief that labelers are right.
 LEAST, BELIEF = 0.9, 20.0
-CONTEXT = 24
+#: Characters of context before a span; matches gathered at a time.
+CONTEXT, CHUNK = 24, 256
 
 # Possessive quantifiers give the same leftmost matches without deep recursion;
 # a match begins at the start of its run of characters or where the last one ended.
@@ -70,22 +71,36 @@ _COUNTER = r"(?i)(?:order|invoice|version|isbn|issue|page|figure|token|sha|build
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` in order: array of (start, end, value); code points, ends exclusive."""
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
+    """Matches of ``pattern`` in order: array of (start, end, value, before); code points, ends exclusive.
+
+    ``before`` is what stands before a match, ``CONTEXT`` characters at most.
+    Appending copies an array, so matches are gathered ``CHUNK`` at a time: work
+    grows with the number of matches, not with its square.
+    """
+    fields = "struct<start:int,end:int,value:string,before:string>"
+    empty, no_chunk = (F.from_json(F.lit("[]"), ddl) for ddl in (f"array<{fields}>", f"array<array<{fields}>>"))
 
     def placed(values: Column, gaps: Column) -> Column:
         def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.get(gaps, k)
-            end = start + F.length(F.get(values, k))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(values, k).alias("value"))
-            return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
-
-        first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), first, step)["out"]
+            value, start = F.get(values, k), state["at"] + F.length(F.get(gaps, k))
+            before = F.right(F.concat(state["tail"], F.get(gaps, k)), F.lit(CONTEXT))
+            end = start + F.length(value)
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"))
+            return F.struct(end.alias("at"), F.right(F.concat(before, value), F.lit(CONTEXT)).alias("tail"),
+                            F.array_append(state["out"], one).alias("out"))
+
+        def chunk(state: Column, low: Column) -> Column:
+            numbers = F.sequence(low, F.least(low + CHUNK, F.size(values)) - 1)
+            first = F.struct(state["at"].alias("at"), state["tail"].alias("tail"), empty.alias("out"))
+            return let(F.aggregate(numbers, first, step), lambda own: F.struct(
+                own["at"].alias("at"), own["tail"].alias("tail"), F.array_append(state["out"], own["out"]).alias("out")))
+
+        lows = F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), no_chunk.alias("out"))
+        return F.flatten(F.aggregate(lows, start, chunk)["out"])
 
     def between(values: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
-        return F.when(F.size(values) == 0, empty).otherwise(let(gaps, lambda own: placed(values, own)))
+        return F.when(F.size(values) == 0, empty).otherwise(let(F.split(text, pattern, -1), lambda own: placed(values, own)))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), between)
 
@@ -117,12 +132,12 @@ def _gate(kind: str, text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """array of (kind number, start, end, value, base) in no order."""
-    empty = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int,value:string,base:boolean>>")
+    """array of (kind number, start, end, value, before, base) in no order."""
+    empty = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int,value:string,before:string,base:boolean>>")
 
     def told(number: int, base: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda x: F.struct(F.lit(number).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                                  x["value"].alias("value"), base(x["value"]).alias("base"))
+                                  x["value"].alias("value"), x["before"].alias("before"), base(x["value"]).alias("base"))
 
     parts = []
     for number, kind in enumerate(KINDS):
@@ -140,10 +155,9 @@ def _candidates(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _votes(text: Column, x: Column) -> Column:
+def _votes(x: Column) -> Column:
     """The labelers' votes (1 for, -1 against, 0 none) as an array, in the order of ``LABELERS``."""
-    before = F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-    digits, kind = _digits(x["value"]), x["kind"]
+    before, digits, kind = x["before"], _digits(x["value"]), x["kind"]
     number = (kind == 2) | (kind == 3)
     check = F.when(kind == 2, F.when(_luhn(digits), 1).otherwise(-1)).when(
         kind == 1, F.when(x["base"], 1).otherwise(-1)).otherwise(0)
@@ -161,13 +175,13 @@ def _votes(text: Column, x: Column) -> Column:
                    F.when(F.rlike(before, F.lit(_COUNTER)), -1).otherwise(0), shape)
 
 
-def _features(text: Column, x: Column) -> Column:
+def _features(x: Column) -> Column:
     """Buckets of a span's kind, shape, length and the words before it."""
-    before = F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
+    before = x["before"]
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(x["value"], "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
     word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
     digits = F.length(_digits(x["value"]))
-    made = (F.array_join(_votes(text, x).cast("array<string>"), ","), shape, word, digits.cast("string"), F.rlike(before, F.lit(_CONTEXT)).cast("string"),
+    made = (F.array_join(_votes(x).cast("array<string>"), ","), shape, word, digits.cast("string"), F.rlike(before, F.lit(_CONTEXT)).cast("string"),
             F.rlike(before, F.lit(_COUNTER)).cast("string"), _luhn(_digits(x["value"])).cast("string"))
     return F.array(*(F.pmod(F.xxhash64(F.lit(i), x["kind"], F.coalesce(value, F.lit(""))), F.lit(BUCKETS)).cast("int")
                      for i, value in enumerate(made)))
@@ -240,7 +254,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     held = own.select("doc_id", "text", F.explode(F.array(_candidates(F.col("text")))).alias("found"))
     judged = F.transform("found", lambda x: F.struct(
         x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"),
-        _votes(F.col("text"), x).alias("votes"), _features(F.col("text"), x).alias("features")))
+        _votes(x).alias("votes"), _features(x).alias("features")))
     rows = written(held.select("doc_id", judged.alias("found")), "candidates")
     prior, weights = classifier(rows.select(F.explode("found").alias("x")).select("x.kind", "x.votes", "x.features"))
     weight = F.from_json(F.lit(json.dumps(weights)), "array<double>")

@@ -99,3 +99,12 @@ def test_entropy_finds_keys_and_spares_the_harmless():
     for text in ("f47ac10b-58cc-4372-a567-0e02b2c3d479", "/usr/local/lib/python3.11/site-packages/numpy1", "internationalizationalism",
                  "2024-01-01-2024-12-31-0000", "www.a1b2c3d4e5f6g7h8.example.com", "A" * 40):
         assert not sec.scanned(text)[1], text
+
+
+def test_spans_of_many_numbers_across_chunks(spark):
+    """More matches than are gathered at a time, with spans in the first and the last of them."""
+    text = "4111 1111 1111 1111 " + " ".join(f"n{i}" for i in range(10, 1500)) + " tel +49 30 1234567 x@y.org"
+    row = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at, mail = text.index("+49"), text.index("x@y")
+    assert (row["n_card"], row["n_phone"], row["n_email"]) == (1, 1, 1)
+    assert {"card:0:19", f"phone:{at}:{at + 14}", f"email:{mail}:{mail + 7}"} <= set(row["spans"].split(","))
