@@ -7,10 +7,9 @@ returns the columns of ``documents``; the last returns packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from faultlore.llm.common import documents, written
-from faultlore.llm.exact import exact_duplicates, normalised
+from faultlore.llm.common import documents, numbered, written
+from faultlore.llm.exact import exact_duplicates
 from faultlore.llm.languages import in_known_language
 from faultlore.llm.mixing import mixed_documents
 from faultlore.llm.near import near_duplicates
@@ -23,16 +22,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("of"), F.col("text_sha256").alias("sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.sha2(normalised(F.col("text")), 256) == F.col("sha"))
-    return docs.join(kept, same, "left_semi")
+    """One row of each group of equal texts, the one with the smallest id."""
+    rows, row = numbered(docs)
+    return rows.join(exact_duplicates(rows, row=row).filter("kept").select(row), row, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words a shingle, similarity 0.8."""
-    kept = near_duplicates(docs, percent=80, shingle=5).filter("kept").select(F.col("doc_id").alias("of"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    """One row of each group of near duplicates: five words a shingle, similarity 0.8."""
+    rows, row = numbered(docs)
+    kept = near_duplicates(rows, percent=80, shingle=5, row=row).filter("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, in bytes; bounds its memory.
 SLICE_BYTES = 4 << 20
@@ -46,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as written, with a number of its own for each row, and the name of the numbers' column."""
+    row = "row_number"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

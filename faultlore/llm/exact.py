@@ -13,10 +13,11 @@
 4. Each slot finds its link by bucket, key and SHA-256.
 
 Edge cases.  Null counts as empty, so null and empty texts are equal; texts of white
-space equal one space.  Repeated rows are equal to each other; all rows that
-have their group's smallest id are kept, so ids should be distinct.  A null
-``doc_id`` is never the smallest unless its whole group has none; it is kept only
-then.  An empty table gives an empty result.
+space equal one space.  A null ``doc_id`` is never the smallest unless its whole
+group has none; it is kept only then.  Repeated rows are equal to each other.  With
+stored row numbers (``row``) one row of each group is kept, of those with the
+smallest id the one with the smallest number; without, as in the SQL, all rows that
+have the smallest id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def slots(docs: DataFrame) -> DataFrame:
     text = normalised(F.col("text"))
-    return docs.select("doc_id", F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("text_sha256"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", *rest, F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def index(docs: DataFrame, of: DataFrame) -> DataFrame:
@@ -75,14 +77,24 @@ def index(docs: DataFrame, of: DataFrame) -> DataFrame:
     return links.withColumn("link", F.row_number().over(chain))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each row of ``docs`` (doc_id, text).
+
+    ``row`` names a column with a stored number of each row, which the result has
+    too; then exactly one row of each group is kept.
+    """
+    docs = docs.select("doc_id", "text", *([F.col(row).alias("row")] if row else []))
     own = written(slots(docs), "slots")
     of = directory(own.select("key").distinct(), capacity)
     links = written(index(docs, of), "index")
     found = own.join(links.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    smallest = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if not row:
+        return found.select("doc_id", "keep_id", "group_size", smallest.alias("kept"), "text_sha256")
+    # the numbers of equal rows meet as one partial minimum a task
+    first = found.filter(smallest).groupBy("key", "text_sha256").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    return found.join(first, "row", "left").select(
+        F.col("row").alias(row), "doc_id", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"), "text_sha256")
 
 
 SQL = r"""

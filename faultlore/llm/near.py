@@ -19,8 +19,9 @@ with a chance of about ``miss`` per batch.
 Edge cases.  Null, empty and blank texts have an empty set: 0 shingles, linked
 with nothing, each its own component and kept.  Repeated rows have equal sets and
 so one component.  A row whose ``doc_id`` is null has the component of its set,
-null if no row of the component has an id, and is not kept unless it has no
-words.  An empty table gives an empty result.
+null if no row of the component has an id.  Of each component with words exactly
+one row is kept: of those with the smallest id, or of all where none has an id, the
+one with the smallest stored number.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +31,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import column, slices, written
+from faultlore.llm.common import column, numbered, slices, written
 from faultlore.llm.graph import components
 from faultlore.llm.words import mixed, runs, words
 
 BANDS, ROWS = 28, 5
 #: Rows of a block in the comparison of what is left of a bucket.
 BLOCK = 512
-SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+SIGNED = "row long, doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
 
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,7 +68,7 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, size and key of each document's shingle set, its signature and its bands."""
+    """row, doc_id, size and key of each document's shingle set, its signature and its bands."""
     def sign(batches):
         for batch in batches:
             for part, data, offsets in slices(batch):
@@ -85,11 +86,11 @@ def signed(docs: DataFrame, shingle: int = 3) -> DataFrame:
                     by_band = runs(least, ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64)
                     bands.append(mixed(by_band).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                    [column(part, "row"), column(part, "doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                      pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "signature", "bands"])
+                    names=["row", "doc_id", "n_shingles", "set_key", "signature", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
+    return docs.select("row", "doc_id", "text").mapInArrow(sign, SIGNED)
 
 
 def least_matches(similarity: float, miss: float, compared: int) -> int:
@@ -210,17 +211,29 @@ def _across(members: DataFrame, sets: DataFrame, texts: DataFrame, percent: int,
     return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss: float = 1e-6) -> DataFrame:
+def _least() -> Column:
+    """The row with the smallest id, null last, and of these the smallest number."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss: float = 1e-6, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Rows are linked where 100 * |intersection| >= percent * |union| of their
     sets of ``shingle`` words; the component is named by its smallest doc_id.
+    ``row`` names a column with a stored number of each row, which the result has
+    too; without it, ids and texts are stored with numbers first.
     """
     similarity = percent / 100
+    if row:
+        docs = docs.select(F.col(row).alias("row"), "doc_id", "text")
+    else:
+        docs, number = numbered(docs.select("doc_id", "text"))
+        docs = docs.withColumnRenamed(number, "row")
     rows = written(signed(docs, shingle), "signed")
     sets = (rows.filter("set_key IS NOT NULL").groupBy("set_key")
-            .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"),
-                 F.first("bands").alias("bands")))
+            .agg(_least(), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+            .select("set_key", "least.doc_id", "least.row", "signature", "bands"))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     banded = sets.select("sid", F.posexplode("bands").alias("band", "key"))
@@ -233,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
 
     first = likely.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
     ends = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid"))).distinct()
-    texts = written(_texts(docs, sets, ends, shingle), "texts")
+    texts = written(_texts(docs, sets, ends), "texts")
     links = written(_verified(first, texts, percent, shingle), "links")
     component = components(links)
 
@@ -248,36 +261,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
     several = (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low <> high").select("key"))
     members = members.join(several, "key")
-    texts = _texts(docs, sets, members.select("sid").distinct(), shingle)
+    texts = _texts(docs, sets, members.select("sid").distinct())
     more = written(_across(members, sets, texts, percent, shingle, miss), "links")
     if not more.isEmpty():
         component = components(links.union(more))
 
-    of_set = sets.select("sid", "set_key", "doc_id").join(component.withColumnRenamed("node", "sid"), "sid", "left")
+    of_set = sets.select("sid", "set_key", "doc_id", "row").join(component.withColumnRenamed("node", "sid"), "sid", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "sid"))
-    smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = of_set.join(smallest, "component").select("set_key", "component_id")
+    smallest = (of_set.groupBy("component").agg(_least())
+                .select("component", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")))
+    named = of_set.select("component", "set_key").join(smallest, "component").select("set_key", "component_id", "first")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-            .select("doc_id", "n_shingles", own.alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)))
+    return (rows.select("row", "doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+            .select(*([F.col("row").alias(row)] if row else []), "doc_id", "n_shingles", own.alias("component_id"),
+                    F.coalesce(F.col("row") == F.col("first"), F.col("n_shingles") == 0).alias("kept")))
 
 
-def _texts(docs: DataFrame, sets: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
-    """(sid, text) for the sets in ``sids``: one text of each, found by its id and its set."""
-    def same(batches):
-        for batch in batches:
-            for part, data, offsets in slices(batch):
-                _, _, hashes, limits = words(data, offsets, lower=True)
-                keys = column(part, "set_key").to_pylist()
-                keep = [_key(_shingles(hashes[low:high], shingle)) == key
-                        for low, high, key in zip(limits[:-1], limits[1:], keys)]
-                yield part.select(["sid", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = sids.join(sets.select("sid", "set_key", F.col("doc_id").alias("of")), "sid")
-    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
-    return (met.select("sid", "set_key", "text").mapInArrow(same, "sid long, text string")
-            .groupBy("sid").agg(F.first("text").alias("text")))
+def _texts(docs: DataFrame, sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, text) for the sets in ``sids``: the text of the row that stands for each."""
+    return docs.select("row", "text").join(sids.join(sets.select("sid", "row"), "sid"), "row").select("sid", "text")
 
 
 def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:

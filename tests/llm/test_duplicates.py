@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from faultlore.llm import exact, near, substrings
 from faultlore.llm.graph import components
 
@@ -148,3 +150,22 @@ def test_windows_odd_rows(odd, empty):
     long = [r for r in got if r["doc_id"] in (6, 7)]
     assert all(r["n_words"] == r["n_removed"] == 30_000 for r in long)
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] not in (6, 7))
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    """Null ids, repeated ids and repeated rows: one row of each group stays, no group is lost."""
+    base = [f"w{i}" for i in range(60)]
+    near_text, far = " ".join(base[:59] + ["other"]), " ".join(reversed(base))
+    rows = [(1, "a clean text"), (1, "a clean text"), (1, "another text"), (None, "a text of its own"), (None, "said twice"),
+            (None, "said twice"), (9, "said  by nine"), (None, "said by nine"), (None, " ".join(base)), (None, near_text), (7, far), (7, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_number", F.lit(5)).repartition(3)
+
+    def sorted_rows(df):
+        assert df.columns == ["doc_id", "text", "row_number"]
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    once = [(1, "a clean text"), (1, "another text"), (None, "a text of its own"), (None, "said twice"), (9, "said  by nine"), (7, far)]
+    assert sorted_rows(corpus_pipeline.exact_stage(spark, docs, "")) == sorted(once + rows[8:10], key=str)
+    got = sorted_rows(corpus_pipeline.near_stage(spark, docs, ""))
+    assert len(got) == 7 and [r for r in got if r[1] not in (" ".join(base), near_text)] == sorted(once, key=str)
+    assert sum(r["kept"] for r in near.near_duplicates(docs).collect()) == 7
