@@ -73,6 +73,26 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.mixture_sizes(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_targets_end_inside_one_row_of_many_alike(spark):
+    """Null ids, one repeated id and identical rows: every source gives its target, again in any order of the rows."""
+    rows = [(None, f"null w{i} " * 40, "a") for i in range(60)] + [(i, f"own w{i} " * 40, "a") for i in range(30)]
+    rows += [(5, f"same id {i} " * 30, "b") for i in range(80)] + [(None, "all alike " * 50, "c")] * 90
+    rows += [(1000 + i, f"d{i} " * 70, "d") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = {}
+    for r in mixing.taken(docs).selectExpr("source", "size", "size * whole + more AS taken", "target").collect():
+        own = sums.setdefault(r["source"], [0, r["target"]])
+        own[0] += r["taken"]
+    assert len(sums) == 4 and all(abs(taken - target) <= 0.5 for taken, target in sums.values()), sums
+    key = ["doc_id", "size", "source_size", "target", "taken"]
+    want, again = (sorted(map(str, mixing.mixture_sizes(d).select(*key).collect())) for d in (docs, docs.repartition(7)))
+    assert want == again
+    words = {}
+    for r in mixing.mixed_documents(docs, shards=4).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert words == {s: taken for s, (taken, _) in sums.items()}
+
+
 def by_library(texts):
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     tokenizer.encode_special_tokens = True
