@@ -6,7 +6,9 @@ a-f, letters and digits, base 64) a window of 20 characters slides over it; the
 counts of its characters, and from them its Shannon entropy, change by the one
 that enters and the one that leaves.  The windows at or above the class's threshold
 join into spans of kind ``entropy``.  What the allow-list knows as harmless is
-suppressed: identifiers with dashes, addresses and paths, numbers, words.
+suppressed: identifiers with dashes, addresses and paths, numbers, and words in
+lower case, capitalised or in upper case with their compounds.  Nothing else but
+the entropy decides.
 
 Edge cases.  Null and empty texts have no span: counts 0, ``spans`` empty.  Repeated
 rows and null ids are scanned like others.  Texts are scanned whole, in time
@@ -36,24 +38,18 @@ CLASSES = {
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 3.9),
 }
 #: Whole candidates that are harmless.
+_WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+)"  # the last as in capitalisedWords
 ALLOWED = re.compile(r"""
       [0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}    # identifiers
     | [0-9+/_=.-]+                                          # numbers, dates, rulers
-    | [A-Za-z]+ | [A-Za-z]+([+/_=.-]+[A-Za-z]+)*            # words and compounds of words
+    | WORD([+/_=.-]+WORD)*                                  # words and compounds of words
     | ([A-Za-z0-9_-]+\.)+[A-Za-z]{2,}(/[A-Za-z0-9_.=-]*)*   # hosts
     | [./]*([a-z0-9_.-]+/)+[a-z0-9_.-]*                     # paths
     | .*(EXAMPLE|example|placeholder|x{6,}|X{6,}).*         # said to be none
-""", re.X)
+""".replace("WORD", _WORD), re.X)
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _mixture(word: str) -> bool:
-    """Digits and letters, changing between them often, as in keys but not in names with a number."""
-    kinds = ["d" if c.isdigit() else "l" if c.isalpha() else "" for c in word]
-    kinds = [k for k in kinds if k]
-    return sum(a != b for a, b in zip(kinds, kinds[1:])) >= 3
-
-
 def hot_windows(word: str, alphabet: frozenset[str], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Joined windows of ``word``, all in the alphabet, whose entropy is ``least`` bits or more."""
     log = [0.0] + [n * log2(n) for n in range(1, window + 1)]
@@ -86,7 +82,7 @@ def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]
     more: set[tuple[int, int]] = set()
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if ALLOWED.fullmatch(word) or not _mixture(word):
+        if ALLOWED.fullmatch(word):
             continue
         spans = sorted(s for alphabet, least in CLASSES.values() for s in hot_windows(word, alphabet, least))
         joined: list[tuple[int, int]] = []

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from faultlore.llm import pii
@@ -101,6 +102,24 @@ def test_entropy_finds_keys_and_spares_the_harmless():
         assert not sec.scanned(text)[1], text
 
 
+def test_entropy_alone_decides_on_keys():
+    """Keys with one digit, with one run of digits or with letters alone."""
+    for key in ("qZtLpXvBmNcRsWkDfGh7", "QzTlPx4827VbNmCrSwKd", "qZtLpXvBmNcRsWkDfGhJ", "kXwQzRtYpLmNbVcDsFgH", "zq7xkvjwpmhtbnrcdlgf"):
+        assert sec.scanned(f"a {key} b")[1] == [(2, 22)], key
+    for text in ("theQuickBrownFoxJumpedOver", "INTERNATIONAL_BUSINESS-MACHINES", "Quick-Brown-Foxes/jumping_over.lazy", "abcdefghijklmnopqrst"):
+        assert not sec.scanned(text)[1], text
+
+
+def test_random_keys_are_found():
+    import random
+    import string
+    rng = random.Random(8)
+    signs = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(signs) for _ in range(n)) for n in (20, 24, 32) for _ in range(1000)]
+    hot = [k for k in keys if any(sec.hot_windows(k, *own) for own in sec.CLASSES.values())]
+    assert len(hot) > 2900 and np.mean([bool(sec.scanned(k)[1]) for k in hot]) > 0.99
+
+
 def test_spans_of_many_numbers_across_chunks(spark):
     """More matches than are gathered at a time, with spans in the first and the last of them."""
     text = "4111 1111 1111 1111 " + " ".join(f"n{i}" for i in range(10, 1500)) + " tel +49 30 1234567 x@y.org"
