@@ -15,13 +15,14 @@ most pieces is spread over all workers.
 
 Edge cases.  A null or empty text has the one id that ends every document.  A
 repeated row is packed again; rows with a null ``doc_id`` are packed like others.
-Texts are tokenized whole; strings of special tokens are ordinary text.  An empty
-table gives an empty result.
+Texts are tokenized whole; a string of an added token of the vocabulary is that
+token, as in the tokenizers library.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -40,16 +41,20 @@ class Encoder:
     """Ids of a text, as 32-bit little-endian numbers, remembered by unit of text.
 
     A space before a character that is no white space always begins a pre-token of
-    the pattern, so a text is encoded unit by unit between such spaces.
+    the pattern, so a text is encoded unit by unit between such spaces.  ``added``
+    has the ids of added tokens; the text between these is encoded by itself.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._known: dict[str, bytes] = {}
+        self._added = {token: i.to_bytes(4, "little") for token, i in (added or {}).items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self._added else None
 
     def _fresh(self, unit: str) -> bytes:
         ids = self._encoding.encode_ordinary(unit)
@@ -64,6 +69,12 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self._split is None or not self._split.search(text):
+            return self._ordinary(text)
+        parts = self._split.split(text)
+        return b"".join(self._added[p] if k % 2 else self._ordinary(p) for k, p in enumerate(parts))
+
+    def _ordinary(self, text: str) -> bytes:
         units = re.split(r" (?=\S)", text) if re.search(r" \s", text) else text.split(" ")
         known = self._known
         out = [self._fresh(units[0])]
@@ -73,6 +84,15 @@ class Encoder:
         return b"".join(out)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON and their ids."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on what is beside them are not supported: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences, then falling powers of two."""
     out, start = [(i, capacity) for i in range(0, tokens - capacity + 1, capacity)], tokens // capacity * capacity
@@ -84,18 +104,24 @@ def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str | None = None, pattern: str | None = None,
-           end_id: int = 0) -> DataFrame:
-    """One row per piece of each row of ``docs`` (doc_id, text), with the ids' checksum."""
+           end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece of each row of ``docs`` (doc_id, text), with the ids' checksum.
+
+    ``added`` has the added tokens and their ids; without a ``vocabulary`` of one's
+    own, they are those of byte_bpe_50k.
+    """
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
     if vocabulary is None or pattern is None:
         import public_tokenizers
 
+        if vocabulary is None and added is None:
+            added = added_tokens(str(public_tokenizers.path("byte_bpe_50k.json")))
         vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
 
     def cut(batches):
-        encode = Encoder(str(vocabulary), pattern)
+        encode = Encoder(str(vocabulary), pattern, added)
         last = end_id.to_bytes(4, "little")
         for batch in batches:
             for part, _, _ in slices(batch):

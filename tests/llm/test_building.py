@@ -128,6 +128,18 @@ def test_packing_round_trip(spark, documents):
     check_packing(packing.packed_documents(docs).collect(), texts)
 
 
+def test_added_tokens_as_the_library_finds_them(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|> " * 700, "<|endoftext|", "<|endof text|>",
+             "a  <|endoftext|>  b", "ein <|ENDOFTEXT|> é<|endoftext|>ß", "<<|endoftext|>>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {i: np.array(e.ids + [0], "<u4") for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False))}
+    assert 50256 in want[0]
+    got = packing.packed_documents(docs).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in got} == {i: len(ids) for i, ids in want.items()}
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes()) for r in got)
+
+
 def test_bins_of_any_length_take_a_fixed_count(spark):
     rng = random.Random(4)
     rows = [(i, 0, rng.randint(1, 100), 0, 0) for i in range(2000)]
