@@ -17,7 +17,7 @@ from faultlore.llm.packing import packed_documents
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; texts without letters and null texts go."""
+    """Documents in learned languages, one or several; texts without letters and null texts go."""
     return in_known_language(docs)
 
 

@@ -3,8 +3,13 @@
 Training counts hashed character trigrams of each language over all labelled
 texts.  A document is a mixture of languages: expectation-maximisation estimates
 the proportions that explain its trigrams best; the set of languages is chosen
-among the likeliest one, two and three by likelihood less a penalty for each
-further language.
+among the likeliest one, two, three and so on up to all by likelihood less a penalty
+for each further language.  A set that cannot win, by a bound of what any mixture
+reaches, is not evaluated.
+
+Whether a text is in learned languages at all is decided against a background of
+the languages' mean, flattened by its root: a text goes if the languages together
+keep less than the asked share beside it and it gains more than a language's price.
 
 The model has languages x ``BUCKETS`` numbers, however large the corpus is.
 
@@ -26,8 +31,8 @@ from faultlore.llm.common import column, slices, texts
 from faultlore.llm.words import mixed
 
 BUCKETS = 1 << 15
-#: Most languages of one document, rounds of the estimate, and the price of a language in log n.
-LARGEST_SET, ROUNDS, PENALTY = 3, 8, 3.0
+#: Rounds of the estimate, and the price of a language in log n.
+ROUNDS, PENALTY = 8, 3.0
 SMOOTHING = 0.5
 #: Text handled at once, in bytes; trigrams and their probabilities take about a hundred times as much memory.
 SLICE = 1 << 20
@@ -102,28 +107,58 @@ def _maximised(share: np.ndarray, p: np.ndarray, weight: np.ndarray, of: np.ndar
     return share, np.add.reduceat(weight * np.log((share[of] * p).sum(1)), starts)
 
 
-def proportions(of: np.ndarray, bucket: np.ndarray, probabilities: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct text indices of ``of``, and each one's language proportions."""
+def _counted(of: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct text indices; start, text, bucket and number of each one's distinct trigrams."""
     key, weight = np.unique(of * BUCKETS + bucket, return_counts=True)
     text, starts, of = np.unique(key // BUCKETS, return_index=True, return_inverse=True)
-    p, weight = probabilities[key % BUCKETS], weight.astype(float)
+    return text, starts, of, key % BUCKETS, weight.astype(float)
+
+
+def proportions(of: np.ndarray, bucket: np.ndarray, probabilities: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct text indices of ``of``, and each one's language proportions."""
+    text, starts, of, bucket, weight = _counted(of, bucket)
+    p = probabilities[bucket]
     n, langs = len(text), probabilities.shape[1]
-    price = PENALTY * np.log(np.add.reduceat(weight, starts) + 1)
-    even, _ = _maximised(np.full((n, langs), 1 / langs), p, weight, of, starts, ROUNDS)
+    total = np.add.reduceat(weight, starts)
+    price = PENALTY * np.log(total + 1)
+    even, likelihood = _maximised(np.full((n, langs), 1 / langs), p, weight, of, starts, ROUNDS)
+    # no mixture of the languages is likelier, as the logarithm is concave
+    ratio = np.add.reduceat((weight / (even[of] * p).sum(1))[:, None] * p, starts).max(1) / total
+    most = likelihood + total * np.log(np.maximum(ratio, 1)) + 1e-6
     order = np.argsort(-even, 1, kind="stable")
     best, best_value = np.zeros((n, langs)), np.full(n, -np.inf)
-    for size in range(1, min(langs, LARGEST_SET) + 1):
-        share = np.zeros((n, langs))
-        chosen = order[:, :size]
-        np.put_along_axis(share, chosen, np.maximum(np.take_along_axis(even, chosen, 1), 1e-6), 1)
+    for size in range(1, langs + 1):
+        left = most - price * (size - 1) > best_value
+        if not left.any():
+            break
+        rows = left[of]
+        own_of = (np.cumsum(left) - 1)[of[rows]]
+        own_starts = np.flatnonzero(np.diff(own_of, prepend=-1))
+        chosen, own = order[left, :size], even[left]
+        share = np.zeros_like(own)
+        np.put_along_axis(share, chosen, np.maximum(np.take_along_axis(own, chosen, 1), 1e-6), 1)
         share /= share.sum(1, keepdims=True)
-        share, likelihood = _maximised(share, p, weight, of, starts, 0 if size == 1 else ROUNDS // 2)
-        value = likelihood - price * (size - 1)
-        better = value > best_value
-        best[better], best_value[better] = share[better], value[better]
+        share, likelihood = _maximised(share, p[rows], weight[rows], own_of, own_starts, 0 if size == 1 else ROUNDS // 2)
+        value = likelihood - price[left] * (size - 1)
+        better = value > best_value[left]
+        at = np.flatnonzero(left)[better]
+        best[at], best_value[at] = share[better], value[better]
     return text, best
 
 
+def in_languages(of: np.ndarray, bucket: np.ndarray, probabilities: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct text indices of ``of``, and whether the languages together make up ``least`` or more of each."""
+    background = np.sqrt(probabilities.mean(1))
+    _, share = proportions(of, bucket, probabilities)
+    text, starts, of, bucket, weight = _counted(of, bucket)
+    known = (share[of] * probabilities[bucket]).sum(1)
+    both = np.stack([known, (background / background.sum())[bucket]], 1)
+    alone = np.add.reduceat(weight * np.log(known), starts)
+    share, likelihood = _maximised(np.full((len(text), 2), 0.5), both, weight, of, starts, ROUNDS)
+    price = PENALTY * np.log(np.add.reduceat(weight, starts) + 1)
+    return text, (share[:, 0] >= least) | (likelihood - alone <= price)
+
+
 def identified(docs: DataFrame, langs: list[str], probabilities: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score and languages (``lang:share``, comma-joined, by share) of each row."""
     def identify(batches):
@@ -146,9 +181,10 @@ def identified(docs: DataFrame, langs: list[str], probabilities: np.ndarray) ->
 
 
 def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` (text, lang, doc_id, ...) of which a learned language makes up ``least`` or more.
+    """The rows of ``docs`` (text, lang, doc_id, ...) of which learned languages together make up ``least`` or more.
 
-    Rows that are ``und`` go; all columns stay as they are.
+    The rest is what the background explains better.  Rows that are ``und`` go; all
+    columns stay as they are.
     """
     langs, probabilities = model(trigram_counts(docs.filter(~held_out(4, 2))))
 
@@ -159,8 +195,8 @@ def in_known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
                 if langs:
                     of, bucket, _ = trigrams(texts(part).to_pylist())
                     if len(of):
-                        text, share = proportions(of, bucket, probabilities)
-                        mask[text] = share.max(1) >= least
+                        text, good = in_languages(of, bucket, probabilities, least)
+                        mask[text] = good
                 yield part.filter(pa.array(mask))
 
     return docs.mapInArrow(keep, docs.schema)
