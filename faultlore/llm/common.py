@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, in bytes; bounds its memory.
@@ -55,6 +56,45 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+class Scratch:
+    """Tables that an operator stores for its own use, and removes once its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{name}-{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _place() -> Column:
+    """A row's place in the files of a table, as a key of 24 bytes: its file's digest and its number in the file."""
+    return F.unhex(F.concat(F.md5("_metadata.file_path"), F.lpad(F.hex("_metadata.row_index"), 16, "0")))
+
+
+def placed(docs: DataFrame, *columns: str, store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """``columns`` of ``docs`` and ``row``, a key of its own for each row that stays the same whenever it is read.
+
+    A scan of Parquet files is read where it is; other DataFrames are stored first.
+    """
+    own = docs.select(*columns)
+    try:
+        return own.select(*columns, _place().alias("row"))
+    except AnalysisException:
+        return store(own, "rows").select(*columns, _place().alias("row"))
+
+
+def sent(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, a stored table of slim rows, marked to be broadcast if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultlore.llm import exact
+from faultlore.llm import divergence, exact, negatives
 from faultlore.llm.common import documents
+from faultlore.llm.divergence import source_divergence
 from faultlore.llm.exact import exact_duplicates
 from faultlore.llm.languages import languages
 from faultlore.llm.mixing import mixture_sizes
 from faultlore.llm.near import near_duplicates
+from faultlore.llm.negatives import hard_negatives
 from faultlore.llm.packing import packed_documents
 from faultlore.llm.pii import personal_data
 from faultlore.llm.quality import quality
@@ -58,6 +61,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows_removed(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    wrong = F.col("vec_id") % 7 == 0  # some labels are moved on, so that close rows differ in label
+    return hard_negatives(vectors.withColumn("label", F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
@@ -69,5 +82,7 @@ QUERIES = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
 }
-ORACLES = {"op6_exact_dedup": exact.SQL}
+ORACLES = {"op6_exact_dedup": exact.SQL, "op11_hard_negatives": negatives.SQL, "op12_source_divergence": divergence.SQL}
