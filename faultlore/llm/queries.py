@@ -9,6 +9,7 @@ from faultlore.llm import divergence, exact, negatives
 from faultlore.llm.common import documents
 from faultlore.llm.divergence import source_divergence
 from faultlore.llm.exact import exact_duplicates
+from faultlore.llm.jaccard import jaccard_join
 from faultlore.llm.languages import languages
 from faultlore.llm.mixing import mixture_sizes
 from faultlore.llm.near import near_duplicates
@@ -71,6 +72,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
@@ -84,5 +89,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_source_divergence": op12_source_divergence,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLES = {"op6_exact_dedup": exact.SQL, "op11_hard_negatives": negatives.SQL, "op12_source_divergence": divergence.SQL}
