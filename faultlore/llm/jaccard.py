@@ -19,7 +19,9 @@
 4. Exact verification on words.  A bucket's members are first compared with its most
    central one; those that then are still in different components are compared among
    each other, in small buckets pair by pair, in large ones inside blocks of bounded
-   rows and bytes.  So a bucket costs its square only where its members are not linked.
+   size.  So a bucket costs its square only where its members are not linked.
+   Before texts are read, two sets are compared by bits: each shingle turns one bit
+   over, so bits that differ are no more than shingles that differ.
 
 Hashes decide candidates alone: agreement of hashes that is none costs a comparison.
 Sets are hashed to 64 bits a shingle and 128 bits a set.
@@ -37,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import Scratch, column, placed, sent, slices, texts, written
+from faultlore.llm.common import Scratch, column, placed, sent, slices, written
 from faultlore.llm.graph import components
 from faultlore.llm.shingles import set_key, shingle_hashes, shingle_set, similar, verified
 from faultlore.llm.words import mixed, words
 
-#: Sets beyond which a subset counts as costly; rows and bytes of text of a block.
-HOT, BLOCK, BLOCK_BYTES = 64, 256, 16 << 20
-SIGNED = "row binary, doc_id long, size long, set_key binary, own array<long>, lower array<long>"
+#: Sets beyond which a subset counts as costly; rows of a block, with and without texts, and its bytes of text.
+HOT, BLOCK, TEXTS, BLOCK_BYTES = 64, 2048, 512, 16 << 20
+#: The fewest bits of a set.
+BITS = 512
+SIGNED = "row binary, doc_id long, size long, set_key binary, bits binary, own array<long>, lower array<long>"
 MADE = "sid long, kind int, key long"
 #: Kinds of keys that allocation makes: skipped ones, the probe's subsets less one shingle, its subsets, and the index's less one.
 SKIPPED, LESS_ONE, PROBED, NEIGHBOUR = range(4)
@@ -128,25 +132,46 @@ def allocation(lengths: np.ndarray, spare: int, costly: dict[int, int]) -> tuple
     return skipped, widened
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """At least as many bits as shingles, each turned over by the shingles that hash to it."""
+    n = max(BITS, 1 << int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bits of several sets, as rows of 64-bit numbers, folded to the fewest that one of them has."""
+    least, out = min(map(len, bits)), []
+    for own in bits:
+        words_of = np.frombuffer(own, np.uint64)
+        out.append(np.bitwise_xor.reduce(words_of.reshape(-1, least // 8), axis=0))
+    return np.stack(out)
+
+
+def _differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The bits in which rows differ."""
+    return np.bitwise_count(one ^ two).sum(-1, dtype=np.int64)
+
+
 def signed(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """row, doc_id, size and key of each document's set, and its keys in its own band and the one below."""
+    """row, doc_id, size, key and bits of each document's set, and its keys in its own band and the one below."""
     def sign(batches):
         bands = Bands(percent)
         for batch in batches:
             for part, data, offsets in slices(batch):
                 _, _, hashes, limits = words(data, offsets, lower=True)
-                sizes, keys, subsets = [], [], ([], [])
+                sizes, keys, bits, subsets = [], [], [], ([], [])
                 for low, high in zip(limits[:-1], limits[1:]):
                     own = shingle_hashes(hashes[low:high], shingle)
                     sizes.append(len(own))
                     keys.append(set_key(own) if len(own) else None)
                     roles = bands.roles(len(own))
+                    bits.append(parity(own) if roles else None)
                     for i in range(2):
                         subsets[i].append(_subsets(own, roles[i], bands.segments(roles[i]))[2].view(np.int64) if i < len(roles) else None)
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "row").cast(pa.binary()), column(part, "doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(keys, pa.binary()), *(pa.array(s, pa.list_(pa.int64())) for s in subsets)],
-                    names=["row", "doc_id", "size", "set_key", "own", "lower"])
+                     pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), *(pa.array(s, pa.list_(pa.int64())) for s in subsets)],
+                    names=["row", "doc_id", "size", "set_key", "bits", "own", "lower"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(sign, SIGNED)
 
@@ -185,28 +210,21 @@ def allocated(costly: DataFrame, percent: int, shingle: int) -> DataFrame:
 
 
 def _buckets(sets: DataFrame, texts_of, percent: int, shingle: int, store: Scratch, hot: int) -> DataFrame:
-    """Buckets (key, sid, size, n, segment, lower, plain, probe, index) with a probe and another indexed set.
-
-    ``plain`` tells that a set skips nothing; ``segment`` is null beyond exact subsets.
-    """
+    """Buckets (key, sid, size, n, probe, index) with a probe and another indexed set."""
     def entries(role: str) -> DataFrame:
         return sets.select("sid", "size", F.lit(role == "lower").alias("lower"), F.posexplode(role).alias("segment", "key"))
 
     every = entries("own").unionByName(entries("lower"))
     counts = (every.groupBy("key").agg(F.count("*").alias("n"), F.min("lower").alias("none"))
               .filter("n > 1 AND NOT none").select("key", "n"))
-    met = store(every.join(sent(store(counts, "counts")), "key"), "met")
+    met = store(every.join(counts, "key"), "met")
     costly = store(met.filter(F.col("n") > hot).groupBy("sid").agg(F.collect_list(F.struct("lower", "segment", "n")).alias("costly")), "costly")
-    exact = met.withColumn("probe", F.lit(True)).withColumn("index", ~F.col("lower")).withColumn("plain", F.lit(True))
-    columns = ["key", "sid", "size", "segment", "lower", "plain", "probe", "index"]
+    columns = ["key", "sid", "size", "probe", "index"]
     if costly.isEmpty():
-        return exact.select("n", *columns)
+        return met.withColumn("probe", F.lit(True)).withColumn("index", ~F.col("lower")).select("n", *columns)
     made = store(allocated(texts_of(costly.select("sid")).join(costly, "sid"), percent, shingle), "made")
     skipped = made.filter(F.col("kind") == SKIPPED).select("sid", "key", F.lit(True).alias("skipped")).distinct()
-    some = skipped.select("sid", F.lit(True).alias("skips")).distinct()
-    exact = (met.join(skipped, ["sid", "key"], "left").join(some, "sid", "left")
-             .withColumn("probe", F.col("skipped").isNull()).withColumn("plain", F.col("skips").isNull())
-             .withColumn("index", ~F.col("lower")))
+    exact = met.join(skipped, ["sid", "key"], "left").withColumn("probe", F.col("skipped").isNull()).withColumn("index", ~F.col("lower"))
     # the two ways in which subsets differ by one shingle, each with keys of its own
     own = sets.select("sid", F.explode("own").alias("key"))
     of_kind = {kind: made.filter(F.col("kind") == kind).select("sid", "key") for kind in (LESS_ONE, PROBED, NEIGHBOUR)}
@@ -217,8 +235,8 @@ def _buckets(sets: DataFrame, texts_of, percent: int, shingle: int, store: Scrat
         both = (probes.join(found.select("key").distinct(), "key", "left_semi").select("sid", "key", F.lit(True).alias("probe"), F.lit(False).alias("index"))
                 .unionByName(found.select("sid", "key", F.lit(False).alias("probe"), F.lit(True).alias("index"))))
         both = both.groupBy("sid", F.xxhash64("key", F.lit(tag)).alias("key")).agg(F.max("probe").alias("probe"), F.max("index").alias("index"))
-        others = others.unionByName(both.join(sets.select("sid", "size"), "sid").select(
-            "key", "sid", "size", F.lit(None).cast("int").alias("segment"), F.lit(False).alias("lower"), F.lit(False).alias("plain"), "probe", "index"))
+        others = others.unionByName(both.join(sets.select("sid", "size"), "sid").select(*columns))
+    others = store(others, "subsets")
     n = others.groupBy("key").agg(F.count("*").alias("n"), F.max("probe").alias("p"), F.max("index").alias("i")).filter("n > 1 AND p AND i")
     return others.join(n.select("key", "n"), "key").select("n", *columns)
 
@@ -233,49 +251,94 @@ def _with_component(of: DataFrame, component: DataFrame) -> DataFrame:
     return of.join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
 
-def _inside_blocks(members: DataFrame, texts_of, percent: int, shingle: int) -> DataFrame:
-    """Links (a, b) between components of large buckets.
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose bits differ in no more than their sets may."""
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for one, two, size in zip(*(column(batch, c).to_pylist() for c in ("one", "two", "sizes"))):
+                bits = folded([one, two])
+                keep.append(int(_differ(bits[0], bits[1])) <= size * (100 - percent) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("sid").alias("a"), F.col("bits").alias("one"), F.col("size").alias("size_a"))
+    two = sets.select(F.col("sid").alias("b"), F.col("bits").alias("two"), F.col("size").alias("size_b"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("sizes", F.col("size_a") + F.col("size_b"))
+    return both.select("a", "b", "one", "two", "sizes").mapInArrow(compare, "a long, b long")
+
 
-    ``members``: (key, sid, size, segment, lower, plain, probe, index, component, subsets).
-    Every two blocks of a bucket meet in a group, which compares a probe with an
-    indexed set unless something links them or an earlier segment has shown them.
+def _meeting(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``members`` once for every two blocks of their bucket that meet: low, high and the own block."""
+    return (members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
+
+
+class _Group:
+    """Two blocks of a bucket: whom a member may be linked with."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent, self.bits = percent, folded(table["bits"].to_pylist())
+        self.sid, self.size, self.label, self.block = (table[c].to_numpy().copy() for c in ("sid", "size", "component", "block"))
+        self.probe, self.index = (np.array(table[c].to_pylist(), bool) for c in ("probe", "index"))
+        self.low, self.high = table["low"][0].as_py(), table["high"][0].as_py()
+
+    def first(self) -> np.ndarray:
+        return np.flatnonzero(self.block == self.low)
+
+    def possible(self, i: int) -> np.ndarray:
+        """Members in other components, one of both a probe and the other indexed, alike by size and bits."""
+        rest = np.flatnonzero((self.label != self.label[i]) & (self.block == self.high)
+                              & ((self.low != self.high) | (self.sid > self.sid[i]))
+                              & (self.probe & self.index[i] | self.index & self.probe[i])
+                              & (100 * np.minimum(self.size, self.size[i]) >= self.percent * np.maximum(self.size, self.size[i])))
+        most = (self.size[rest] + self.size[i]) * (100 - self.percent) // (100 + self.percent)
+        return rest[_differ(self.bits[rest], self.bits[i]) <= most]
+
+
+def _inside_blocks(members: DataFrame, texts_of, percent: int, shingle: int, store: Scratch) -> DataFrame:
+    """Links (a, b) between components of large buckets: (key, sid, size, probe, index, component, bits).
+
+    Every two blocks of a bucket meet in a group.  The first time, without texts, groups
+    find the members with a possible partner; only these get their texts and meet
+    again, in blocks bounded by bytes too.
     """
-    of = members.join(texts_of(members.select("sid").distinct()), "sid").withColumn("bytes", F.octet_length("text"))
-    blocks = of.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-    met = (of.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
+    def alive(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group, found = _Group(table, percent), set()
+        for i in group.first():
+            others = group.possible(i)
+            if len(others):
+                found.update((int(i), *others.tolist()))
+        return table.select(["key", "sid"]).take(pa.array(sorted(found), pa.int64()))
+
+    members = members.select("key", "sid", "size", "probe", "index", "component", "bits")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    likely = store(_meeting(members, blocks).groupBy("key", "low", "high").applyInArrow(alive, "key long, sid long").distinct(), "likely")
+    of = members.join(likely, ["key", "sid"]).join(texts_of(likely.select("sid").distinct()), "sid")
+    of = store(of.withColumn("bytes", F.octet_length("text")), "texts")
+    blocks = of.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
 
     def compare(table: pa.Table) -> pa.Table:
-        sid, size, label, block = (table[c].to_numpy().copy() for c in ("sid", "size", "component", "block"))
-        probe, index, plain = (np.array(table[c].to_pylist(), bool) for c in ("probe", "index", "plain"))
-        segment, low, high = table["segment"][0].as_py() or 0, table["low"][0].as_py(), table["high"][0].as_py()
-        earlier = np.array([s[:segment] if s is not None else [] for s in table["subsets"].to_pylist()], np.int64).reshape(len(sid), segment)
-        hashed: dict[int, set] = {}
-
-        def hashes(i: int) -> set:
-            if i not in hashed:
-                data = np.frombuffer(table["text"][i].as_py().encode(), np.uint8)
-                own = words(data, np.array([0, len(data)]), lower=True)[2]
-                hashed[i] = set(shingle_hashes(own, shingle).tolist())
-            return hashed[i]
-
-        links = []
-        for i in np.flatnonzero(block == low):
-            rest = np.flatnonzero((label != label[i]) & (block == high) & ((low != high) | (sid > sid[i]))
-                                  & (probe & index[i] | index & probe[i])
-                                  & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            shown = plain[rest] & plain[i] & (earlier[rest] == earlier[i]).any(1)
-            for j in rest[~shown]:
-                if label[i] != label[j] and similar(hashes(i), hashes(j), percent):
-                    one, two = (shingle_set(table["text"][int(k)].as_py(), shingle) for k in (i, j))
-                    if similar(one, two, percent):
-                        links.append((sid[i], sid[j]))
-                        label[label == label[j]] = label[i]
+        table = table.combine_chunks()
+        group = _Group(table, percent)
+        known: dict[int, set] = {}
+
+        def words_of(i: int) -> set:
+            if i not in known:
+                known[i] = shingle_set(table["text"][i].as_py(), shingle)
+            return known[i]
+
+        links, label = [], group.label
+        for i in group.first():
+            for j in group.possible(i):
+                if label[i] != label[j] and similar(words_of(int(i)), words_of(int(j)), percent):
+                    links.append((group.sid[i], group.sid[j]))
+                    label[label == label[j]] = label[i]
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+    return _meeting(of, blocks).groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int = HOT) -> DataFrame:
@@ -290,8 +353,8 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int
     rows = store(signed(docs, percent, shingle), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     sets = (rows.filter("set_key IS NOT NULL").groupBy("set_key")
-            .agg(least, *(F.first(c).alias(c) for c in ("size", "own", "lower")))
-            .select("set_key", "least.doc_id", "least.row", "size", "own", "lower"))
+            .agg(least, *(F.first(c).alias(c) for c in ("size", "bits", "own", "lower")))
+            .select("set_key", "least.doc_id", "least.row", "size", "bits", "own", "lower"))
     sets = store(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     def texts_of(sids: DataFrame) -> DataFrame:
@@ -308,9 +371,13 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int
     pairs = (buckets.join(pivots, "key").filter("sid <> pivot AND (index OR full AND probe)").filter(_close(percent))
              .select(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).distinct())
     pairs = store(pairs, "pairs")
-    involved = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    known = store(texts_of(involved), "texts")
-    links = store(verified(pairs, known, percent, shingle), "links")
+
+    def linked(some: DataFrame) -> DataFrame:
+        possible = store(_possible(some, sets, percent), "possible")
+        ends = possible.select(F.col("a").alias("sid")).union(possible.select(F.col("b").alias("sid"))).distinct()
+        return store(verified(possible, store(texts_of(ends), "texts"), percent, shingle), "links")
+
+    links = linked(pairs)
     component = components(links, store)
 
     def divided(of: DataFrame) -> DataFrame:
@@ -326,15 +393,14 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int
             .select(F.greatest("sid", "of").alias("a"), F.least("sid", "of").alias("b")).distinct()
             .join(pairs, ["a", "b"], "left_anti"))
     more = store(more, "pairs")
-    if not more.isEmpty():
-        involved = more.select(F.col("a").alias("sid")).union(more.select(F.col("b").alias("sid"))).distinct()
-        links = links.union(store(verified(more, store(texts_of(involved), "texts"), percent, shingle), "links"))
-        component = components(links, store)
+    found = not more.isEmpty()
+    if found:
+        links = links.union(linked(more))
     members = store(divided(buckets.filter(F.col("n") > hot)), "members")
     if not members.isEmpty():
-        subsets = sets.select("sid", "own", F.col("lower").alias("below"))
-        members = members.join(subsets, "sid").withColumn("subsets", F.when(F.col("segment").isNotNull(), F.when(F.col("lower"), F.col("below")).otherwise(F.col("own"))))
-        links = links.union(store(_inside_blocks(members, texts_of, percent, shingle), "links"))
+        members = store(members.join(sets.select("sid", "bits"), "sid"), "members")
+        links, found = links.union(store(_inside_blocks(members, texts_of, percent, shingle, store), "links")), True
+    if found:
         component = components(links, store)
 
     of_set = _with_component(sets.select("sid", "set_key", "doc_id"), component)
