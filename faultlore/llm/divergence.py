@@ -1,18 +1,20 @@
 """Source divergence audit: how a source's use of terms differs from other sources and from its language.
 
-1. Late string materialization.  Each text's terms are counted per language,
-   source and term within a task, and stored with the terms' 64-bit digests.  All
-   counting, joining and summing from here on moves fixed-width digests only.
-2. Collisions.  The smallest and the largest string of each digest are found from the
-   stored table; where they differ, the digest stands for several terms, and its
-   counts are split by string.
-3. Each language keeps the terms in at least ``documents`` of its documents.  A term's
+1. Late string materialization.  Each text's terms are counted within a task per
+   language, source and term, and stored by the 64-bit digest of language and term,
+   each string once a task.  Counting, joining and summing move fixed-width
+   digests of terms and groups only.
+2. Each language keeps the terms in at least ``documents`` of its documents.  A term's
    share in a group is 1 + floor(10^9 * (count + 1) / (all counts + kept terms)).
+3. Collisions.  The smallest and the largest string of each kept digest are found from
+   the stored table; where they differ, the digest stands for several terms and
+   is counted again by string.
 4. Pairs of sources are summed over all kept terms without listing the terms that a
    source lacks: with p0 the share of a lacking term, the sum is
    V * f(p0, q0) + sum over the own terms of f(p, q0) - f(p0, q0), the same over
    the other's terms, and over shared terms f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0).
-   The first sums need a source's number of terms per count alone.
+   The first sums need a source's number of terms per count alone; shared terms are
+   met within a term's own row, which lists the sources that have it.
 5. Reported terms.  A group's 200 largest values and how many terms have each give a
    threshold; only terms at or above it get their strings back, then ranks.
 
@@ -26,13 +28,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import Scratch, column, texts, written
+from faultlore.llm.common import Scratch, column, sent, texts, written
 
 #: Letters of ASCII, and all characters beyond ASCII, as UTF-8.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -41,7 +45,7 @@ SCALE = 1_000_000_000
 HELD = 300_000
 #: Bytes of a text whose terms are listed at once; a longer text is read in parts.
 PART = 1 << 20
-COUNTED = "lang string, source string, digest long, term string, n long, docs long"
+COUNTED = "digest long, lang string, term string, of array<struct<grp: long, n: long, docs: long>>"
 
 
 def _terms(text: bytes) -> Counter:
@@ -67,54 +71,83 @@ def digest(term: bytes) -> int:
 
 
 def counted(docs: DataFrame, of=digest) -> DataFrame:
-    """Per task: (lang, source, digest, term, n, docs), how often a term occurs and in how many documents."""
-    def count(batches):
-        held: dict[tuple, tuple[Counter, Counter]] = {}
-
-        def handed() -> pa.RecordBatch:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for (lang, source), (n, docs) in held.items():
-                rows[0].extend([lang] * len(n))
-                rows[1].extend([source] * len(n))
-                rows[2].extend(map(of, n))
-                rows[3].extend(term.decode() for term in n)
-                rows[4].extend(n.values())
-                rows[5].extend(docs[term] for term in n)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)],
-                                              names=["lang", "source", "digest", "term", "n", "docs"])
-
+    """What a task has counted of a term: its digest, language, string and, for each group, counts of places and documents."""
+    kind = pa.list_(pa.struct([("grp", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())]))
+
+    def handed(lang: str, groups: dict[int, tuple[Counter, Counter]]) -> pa.RecordBatch:
+        """Rows of the terms of one language, in the order in which its groups first name them."""
+        places: dict[bytes, int] = {}
+        at, grp, n, docs = [], [], [], []
+        for group, (times, in_docs) in groups.items():
+            at.extend(places.setdefault(term, len(places)) for term in times)
+            grp.append(np.full(len(times), group, np.int64))
+            n.append(np.fromiter(times.values(), np.int64, len(times)))
+            docs.append(np.fromiter(map(in_docs.__getitem__, times), np.int64, len(times)))
+        by_term = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at, minlength=len(places)))
+        fields = pa.StructArray.from_arrays([pa.array(np.concatenate(v)[by_term]) for v in (grp, n, docs)], fields=list(kind.value_type))
+        head = lang.encode() + b"\0"
+        return pa.RecordBatch.from_arrays(
+            [pa.array([of(head + term) for term in places], pa.int64()), pa.array([lang] * len(places), pa.string()),
+             pa.array([term.decode() for term in places], pa.string()),
+             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), fields).cast(kind)],
+            names=["digest", "lang", "term", "of"])
+
+    def tally(batches):
+        held: dict[str, dict[int, tuple[Counter, Counter]]] = {}
         size = 0
         for batch in batches:
-            groups = zip(texts(batch, "lang").to_pylist(), texts(batch, "source").to_pylist())
-            for group, text in zip(groups, texts(batch).cast(pa.large_binary())):
+            groups = zip(texts(batch, "lang").to_pylist(), column(batch, "grp").to_pylist())
+            for (lang, group), text in zip(groups, texts(batch).cast(pa.large_binary())):
                 own = _terms(text.as_py().lower())
-                n, docs = held.setdefault(group, (Counter(), Counter()))
+                if not own:
+                    continue
+                n, docs = held.setdefault(lang, {}).setdefault(group, (Counter(), Counter()))
                 size -= len(n)
                 n.update(own)
                 docs.update(own.keys())
                 size += len(n)
                 if size >= HELD:
-                    yield handed()
+                    yield from (handed(*item) for item in held.items())
                     held.clear()
                     size = 0
-        if held:
-            yield handed()
+        yield from (handed(*item) for item in held.items())
+
+    return docs.select("lang", "grp", "text").mapInArrow(tally, COUNTED)
+
+
+def _numbered(docs: DataFrame, store: Scratch) -> tuple[DataFrame, Column]:
+    """All groups (lang, source, grp), and ``grp``, a 64-bit digest that differs for all of them."""
+    names = store(docs.select("lang", "source").distinct(), "names")
+    for seed in count():
+        of = F.xxhash64(F.lit(seed), "lang", "source")
+        groups = names.withColumn("grp", of)
+        if groups.groupBy("grp").count().filter("count > 1").isEmpty():
+            return groups, of
 
-    return docs.select("lang", "source", "text").mapInArrow(count, COUNTED)
 
+def _kept(counts: DataFrame, documents: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The kept terms (digest, split, lang_n, of) and the strings (digest, term) of their digests.
 
-def _split(counts: DataFrame, store: Scratch) -> DataFrame:
-    """(lang, source, digest, split, n, docs) of each term; ``split`` is the term where its digest stands for several."""
-    own = counts.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    ends = counts.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-    several = store(ends.filter("low <> high").select("digest"), "several")
+    ``of`` lists a term's groups and its counts there, at most as many as its language has
+    sources; ``split`` is the term where its digest stands for several.
+    """
+    def by_term(flat: DataFrame, *keys: str) -> DataFrame:
+        own = flat.groupBy("grp", *keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        return (own.groupBy(*keys).agg(F.sum("docs").alias("in_docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("grp", "n")).alias("of"))
+                .filter(F.col("in_docs") >= documents).drop("in_docs"))
+
+    whole = store(by_term(counts.select("digest", F.inline("of")), "digest").withColumn("split", F.lit(None).cast("string")), "kept")
+    of_kept = counts.select("digest", "lang", "term").join(sent(whole.select("digest")), "digest", "left_semi")
+    name = F.struct("lang", "term")
+    names = store(of_kept.groupBy("digest").agg(F.min(name).alias("low"), F.max(name).alias("high")), "strings")
+    strings = names.select("digest", F.col("low.term").alias("term"))
+    several = store(names.filter("low <> high").select("digest"), "several")
     if several.isEmpty():
-        return own.withColumn("split", F.lit(None).cast("string"))
-    alone = own.join(several, "digest", "left_anti").withColumn("split", F.lit(None).cast("string"))
-    apart = (counts.join(several, "digest").groupBy("lang", "source", "digest", F.col("term").alias("split"))
-             .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    return alone.unionByName(apart)
+        return whole, strings
+    apart = counts.join(several, "digest").select("digest", "lang", F.col("term").alias("split"), F.inline("of"))
+    apart = by_term(apart, "digest", "lang", "split").drop("lang")
+    return store(whole.join(several, "digest", "left_anti").unionByName(apart), "kept"), strings
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -127,81 +160,76 @@ def _value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(terms: DataFrame, shares: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every two sources of a language."""
-    mine = groups.select("lang", "source", "total", "terms", "lacking")
-    other = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("of"), F.col("lacking").alias("q0"))
+    mine = groups.select("lang", "source", "grp", "total", "terms", "lacking")
+    other = groups.select("lang", F.col("source").alias("item"), F.col("grp").alias("of_grp"), F.col("total").alias("of_total"), F.col("lacking").alias("q0"))
     both = mine.join(other, "lang").filter("source <> item")
-    base = both.select("lang", "source", "item",
-                       F.when(F.col("terms") > 0, F.col("terms") * _value(F.col("lacking"), F.col("q0"))).otherwise(0).alias("value"))
-    # a source's terms are as good as their counts where the other lacks them
-    by_count = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))
     nothing = _value(F.col("lacking"), F.col("q0"))
-    p = _share(F.col("n"), F.col("total"), F.col("terms"))
-    one = (by_count.join(both, ["lang", "source"]).groupBy("lang", "source", "item")
-           .agg(F.sum(F.col("times") * (_value(p, F.col("q0")) - nothing)).alias("value")))
-    q = _share(F.col("n"), F.col("of"), F.col("terms"))
-    two = (by_count.withColumnRenamed("source", "item").join(both, ["lang", "item"]).groupBy("lang", "source", "item")
-           .agg(F.sum(F.col("times") * (_value(F.col("lacking"), q) - nothing)).alias("value")))
+    base = both.select("grp", "of_grp", F.when(F.col("terms") > 0, F.col("terms") * nothing).otherwise(0).alias("value"))
+    # a source's terms are as good as their counts where the other lacks them
+    by_count = shares.groupBy("grp", "n").agg(F.count("*").alias("times"))
+    p, q = _share(F.col("n"), F.col("total"), F.col("terms")), _share(F.col("n"), F.col("of_total"), F.col("terms"))
+    one = by_count.join(both, "grp").select("grp", "of_grp", (F.col("times") * (_value(p, F.col("q0")) - nothing)).alias("value"))
+    two = (by_count.withColumnRenamed("grp", "of_grp").join(both, "of_grp")
+           .select("grp", "of_grp", (F.col("times") * (_value(F.col("lacking"), q) - nothing)).alias("value")))
     # a term meets each other source that has it: at most as many rows as its language has sources
-    left = kept.select("lang", "digest", "split", "source", "p", "lacking")
-    right = kept.select(F.col("lang").alias("of_lang"), F.col("digest").alias("of_digest"), F.col("split").alias("of_split"),
-                        F.col("source").alias("item"), F.col("p").alias("q"), F.col("lacking").alias("q0"))
-    shared = left.join(right, (F.col("lang") == F.col("of_lang")) & (F.col("digest") == F.col("of_digest"))
-                       & F.col("split").eqNullSafe(F.col("of_split")) & (F.col("source") != F.col("item")))
-    change = (_value(F.col("p"), F.col("q")) - _value(F.col("p"), F.col("q0")) - _value(F.col("lacking"), F.col("q")) + nothing)
-    met = shared.groupBy("lang", "source", "item").agg(F.sum(change).alias("value"))
-    return base.unionByName(one).unionByName(two).unionByName(met).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    met = terms.select("of", F.inline("of")).select("grp", "n", F.explode("of").alias("other")).filter("grp <> other.grp")
+    met = met.select("grp", "n", F.col("other.grp").alias("of_grp"), F.col("other.n").alias("of_n"))
+    met = met.groupBy("grp", "of_grp", "n", "of_n").agg(F.count("*").alias("times")).join(both, ["grp", "of_grp"])
+    q = _share(F.col("of_n"), F.col("of_total"), F.col("terms"))
+    change = _value(p, q) - _value(p, F.col("q0")) - _value(F.col("lacking"), q) + nothing
+    met = met.select("grp", "of_grp", (F.col("times") * change).alias("value"))
+    sums = base.unionByName(one).unionByName(two).unionByName(met).groupBy("grp", "of_grp").agg(F.sum("value").alias("value"))
+    return sums.join(both.select("grp", "of_grp", "lang", "source", "item"), ["grp", "of_grp"]).select("lang", "source", "item", "value")
 
 
-def _reported(kept: DataFrame, counts: DataFrame, top: int, store: Scratch) -> DataFrame:
+def _reported(shares: DataFrame, groups: DataFrame, strings: DataFrame, top: int, store: Scratch) -> DataFrame:
     """(lang, source, item, value, rank) of each group's ``top`` terms."""
-    of = kept.filter("p > q").select("lang", "source", "digest", "split", _value(F.col("p"), F.col("q")).alias("value"))
-    of = store(of, "values")
-    group = Window.partitionBy("lang", "source")
+    of = shares.filter("p > q").select("grp", "digest", "split", _value(F.col("p"), F.col("q")).alias("value"))
+    group = Window.partitionBy("grp")
     # values, not terms: a tie of any size is one row, and tasks keep their largest before the shuffle
-    values = of.groupBy("lang", "source", "value").agg(F.count("*").alias("times"))
+    values = of.groupBy("grp", "value").agg(F.count("*").alias("times"))
     values = values.withColumn("place", F.row_number().over(group.orderBy(F.desc("value")))).filter(F.col("place") <= top)
     before = F.coalesce(F.sum("times").over(group.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    least = (values.withColumn("before", before).filter(F.col("before") < top)
-             .groupBy("lang", "source").agg(F.min("value").alias("least")))
-    likely = store(of.join(least, ["lang", "source"]).filter("value >= least").drop("least"), "likely")
+    least = values.withColumn("before", before).filter(F.col("before") < top).groupBy("grp").agg(F.min("value").alias("least"))
+    likely = store(of.join(sent(store(least, "least")), "grp").filter("value >= least").drop("least"), "likely")
     # the strings of what is left, by digest
-    names = counts.join(likely.select("digest").distinct(), "digest", "left_semi").select("digest", "term").distinct()
-    named = likely.join(names, "digest").filter("split IS NULL OR split = term")
+    wanted = sent(store(likely.filter("split IS NULL").select("digest").distinct(), "wanted"))
+    names = store(strings.join(wanted, "digest", "left_semi"), "names")
+    named = likely.join(names, "digest", "left").withColumn("item", F.coalesce("split", "term"))
     rank = F.row_number().over(group.orderBy(F.desc("value"), "item"))
-    return (named.select("lang", "source", F.col("term").alias("item"), "value").withColumn("rank", rank)
-            .filter(F.col("rank") <= top))
+    ranked = named.select("grp", "item", "value").withColumn("rank", rank).filter(F.col("rank") <= top)
+    return ranked.join(sent(groups.select("grp", "lang", "source")), "grp").drop("grp")
 
 
 def source_divergence(docs: DataFrame, documents: int = 3, top: int = 200, of=digest) -> DataFrame:
     """lang, source, part, item, value and rank of the audit of ``docs`` (text, lang, source).
 
     ``pair``: all other sources of the language by divergence; ``term``: the ``top``
-    terms that a source uses more than its language.  ``of`` digests a term.
+    terms that a source uses more than its language.  ``of`` digests a language and a term.
     """
     store = Scratch(docs.sparkSession, "divergence")
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = store(counted(docs, of), "counts")
-    terms = Window.partitionBy("lang", "digest", "split")
-    kept = (_split(counts, store).withColumn("in_docs", F.sum("docs").over(terms)).withColumn("lang_n", F.sum("n").over(terms))
-            .filter(F.col("in_docs") >= documents).select("lang", "source", "digest", "split", "n", "lang_n"))
-    kept = store(kept, "kept")
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    by_term = kept.groupBy("lang", "digest", "split").agg(F.first("lang_n").alias("n"))
-    of_lang = by_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
-    groups = (docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
-              .na.fill(0, ["total", "terms", "lang_total"])
+    names, grp = _numbered(docs, store)
+    counts = store(counted(docs.withColumn("grp", grp), of), "counts")
+    terms, strings = _kept(counts, documents, store)
+    flat = terms.select("digest", "split", "lang_n", F.inline("of"))
+    totals = flat.groupBy("grp").agg(F.sum("n").alias("total"))
+    # all groups of a term are of one language
+    of_lang = (terms.select(F.col("of")[0]["grp"].alias("grp"), "lang_n").groupBy("grp").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+               .join(names, "grp").groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("lang_total").alias("lang_total")))
+    groups = (names.join(totals, "grp", "left").join(of_lang, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
               .withColumn("lacking", F.when(F.col("terms") > 0, _share(F.lit(0), F.col("total"), F.col("terms"))).otherwise(1)))
     groups = store(groups, "groups")
-    shares = store(kept.join(groups, ["lang", "source"]).select(
-        "lang", "source", "digest", "split", "n", "lacking", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-        _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")), "shares")
+    shares = flat.join(sent(groups), "grp").select(
+        "grp", "digest", "split", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
+        _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = _pairs(shares, groups).withColumn("rank", F.row_number().over(order))
+    pairs = _pairs(terms, shares, groups).withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", F.col("item"), F.col("value").cast("long").alias("value"), "rank"]
     out = (pairs.select(F.lit("pair").alias("part"), *columns)
-           .unionByName(_reported(shares, counts, top, store).select(F.lit("term").alias("part"), *columns)))
+           .unionByName(_reported(shares, groups, strings, top, store).select(F.lit("term").alias("part"), *columns)))
     out = written(out.select("lang", "source", "part", "item", "value", "rank"), "divergence")
     store.remove()
     return out
