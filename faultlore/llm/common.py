@@ -48,14 +48,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as written, with a number of its own for each row, and the name of the numbers' column."""
-    row = "row_number"
-    while row in {c.lower() for c in docs.columns}:
-        row += "_"
-    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-
-
 class Scratch:
     """Tables that an operator stores for its own use, and removes once its result is stored."""
 
@@ -78,16 +70,23 @@ def _place() -> Column:
     return F.unhex(F.concat(F.md5("_metadata.file_path"), F.lpad(F.hex("_metadata.row_index"), 16, "0")))
 
 
-def placed(docs: DataFrame, *columns: str, store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
-    """``columns`` of ``docs`` and ``row``, a key of its own for each row that stays the same whenever it is read.
+def placed(docs: DataFrame, *columns: str, name: str = "row", store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """``columns`` of ``docs`` and ``name``, a key of its own for each row that stays the same whenever it is read.
 
     A scan of Parquet files is read where it is; other DataFrames are stored first.
     """
     own = docs.select(*columns)
     try:
-        return own.select(*columns, _place().alias("row"))
+        return own.select(*columns, _place().alias(name))
     except AnalysisException:
-        return store(own, "rows").select(*columns, _place().alias("row"))
+        return store(own, "rows").select(*columns, _place().alias(name))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many lines below as it takes to differ from the columns of ``docs``."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def sent(df: DataFrame, most: int = 500_000) -> DataFrame:

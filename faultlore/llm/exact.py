@@ -15,13 +15,15 @@
 Edge cases.  Null counts as empty, so null and empty texts are equal; texts of white
 space equal one space.  A null ``doc_id`` is never the smallest unless its whole
 group has none; it is kept only then.  Repeated rows are equal to each other.  With
-stored row numbers (``row``) one row of each group is kept, of those with the
-smallest id the one with the smallest number; without, as in the SQL, all rows that
+keys of rows (``row``) one row of each group is kept, of those with the
+smallest id the one with the smallest key; without, as in the SQL, all rows that
 have the smallest id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,14 @@ def _entry(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - DEEPEST)
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def directory(keys: DataFrame, capacity: int = CAPACITY, store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(entry, bucket) for each ``DEEPEST``-bit prefix that occurs.
 
     A bucket of depth d is named 2 ** d + its d bits.  ``keys`` has the distinct
     keys.  What the rounds work on are counts by prefix, 2 ** DEEPEST rows at most.
     """
     counts = keys.groupBy(_entry(F.col("key")).alias("entry")).agg(F.count("*").alias("n"))
-    of = written(counts.withColumn("bucket", F.shiftright("entry", DEEPEST) + 1), "directory")
+    of = store(counts.withColumn("bucket", F.shiftright("entry", DEEPEST) + 1), "directory")
     for depth in range(1, DEEPEST + 1):
         full = (of.filter(F.col("bucket") >= 1 << (depth - 1)).groupBy("bucket").agg(F.sum("n").alias("size"))
                 .filter(F.col("size") > capacity).select("bucket", F.lit(True).alias("full")))
@@ -55,8 +57,8 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             break
         half = F.shiftright("entry", DEEPEST - depth) + (1 << depth)
         split = of.join(F.broadcast(full), "bucket", "left")
-        of = written(split.select("entry", "n", F.when(F.col("full"), half).otherwise(F.col("bucket")).alias("bucket")),
-                     "directory")
+        of = store(split.select("entry", "n", F.when(F.col("full"), half).otherwise(F.col("bucket")).alias("bucket")),
+                   "directory")
     return of.select("entry", "bucket")
 
 
@@ -77,21 +79,23 @@ def index(docs: DataFrame, of: DataFrame) -> DataFrame:
     return links.withColumn("link", F.row_number().over(chain))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, row: str | None = None,
+                     store: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row of ``docs`` (doc_id, text).
 
-    ``row`` names a column with a stored number of each row, which the result has
-    too; then exactly one row of each group is kept.
+    ``row`` names a column with a key of each row, which the result has too; then
+    exactly one row of each group is kept.  ``store`` stores the index, from which the
+    result is read.
     """
     docs = docs.select("doc_id", "text", *([F.col(row).alias("row")] if row else []))
-    own = written(slots(docs), "slots")
-    of = directory(own.select("key").distinct(), capacity)
-    links = written(index(docs, of), "index")
+    own = store(slots(docs), "slots")
+    of = directory(own.select("key").distinct(), capacity, store)
+    links = store(index(docs, of), "index")
     found = own.join(links.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
     smallest = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     if not row:
         return found.select("doc_id", "keep_id", "group_size", smallest.alias("kept"), "text_sha256")
-    # the numbers of equal rows meet as one partial minimum a task
+    # the keys of equal rows meet as one partial minimum a task
     first = found.filter(smallest).groupBy("key", "text_sha256").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     return found.join(first, "row", "left").select(
         F.col("row").alias(row), "doc_id", "keep_id", "group_size", F.coalesce("first", F.lit(False)).alias("kept"), "text_sha256")

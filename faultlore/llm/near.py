@@ -9,8 +9,8 @@
 3. Survivors are verified on the words of both texts: first the likeliest of each
    set, then those that still join two components.
 4. Buckets of three or more that still hold several components are compared in
-   full across these, in blocks of bounded size, by the same Bayesian test and
-   then the texts.  So a bucket costs its square only where its members are not
+   full across these, in blocks of bounded size, by the same Bayesian test; members
+   with a likely partner then by their texts.  So a bucket costs its square only where its members are not
    linked, and a block returns fewer links than it has members.
 
 At similarity 0.85 a pair shares no band with a chance of 7e-8 and is pruned
@@ -19,14 +19,14 @@ with a chance of about ``miss`` per batch.
 Edge cases.  Null, empty and blank texts have an empty set: 0 shingles, linked
 with nothing, each its own component and kept.  Repeated rows have equal sets and
 so one component.  A row whose ``doc_id`` is null has the component of its set,
-null if no row of the component has an id.  Of each component with words exactly
-one row is kept: of those with the smallest id, or of all where none has an id, the
-one with the smallest stored number.  An empty table gives an empty result.
+null if no row of the component has an id.  Kept are the rows whose id names their
+component, also if it is null.  With keys of rows (``row``) exactly one row of each
+component with words is kept: of those with the smallest id, or of all where none
+has an id, the one with the smallest key.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from math import comb
 
 import numpy as np
@@ -34,31 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import column, numbered, slices, written
+from faultlore.llm.common import Scratch, column, placed, sent, slices, written
 from faultlore.llm.graph import components
+from faultlore.llm.shingles import set_key, shingle_hashes, shingle_set, similar, verified
 from faultlore.llm.words import mixed, runs, words
 
 BANDS, ROWS = 28, 5
-#: Rows of a block in the comparison of what is left of a bucket.
-BLOCK = 512
-SIGNED = "row long, doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
+#: Rows and bytes of text of a block in the comparison of what is left of a bucket.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+SIGNED = "row binary, doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>"
 
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _shingles(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Distinct shingle hashes of one text; the whole sequence if it is shorter than a shingle."""
-    if len(hashes) == 0:
-        return hashes
-    if len(hashes) < length:
-        return mixed(runs(hashes, len(hashes)) + np.uint64(len(hashes)))
-    return np.unique(runs(hashes, length))
-
-
-def _key(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-
-
 def _minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each hash function."""
     out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -75,18 +63,18 @@ def signed(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 _, _, hashes, limits = words(data, offsets, lower=True)
                 sizes, keys, signatures, bands = [], [], [], []
                 for low, high in zip(limits[:-1], limits[1:]):
-                    own = _shingles(hashes[low:high], shingle)
+                    own = shingle_hashes(hashes[low:high], shingle)
                     sizes.append(len(own))
                     if not len(own):
                         keys.append(None), signatures.append(None), bands.append(None)
                         continue
-                    keys.append(_key(own))
+                    keys.append(set_key(own))
                     least = mixed(_minima(own))
                     signatures.append(least.astype(np.uint16).tobytes())
                     by_band = runs(least, ROWS)[::ROWS] + np.arange(BANDS, dtype=np.uint64)
                     bands.append(mixed(by_band).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "row"), column(part, "doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                    [column(part, "row").cast(pa.binary()), column(part, "doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                      pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["row", "doc_id", "n_shingles", "set_key", "signature", "bands"])
 
@@ -132,83 +120,82 @@ def _survivors(pairs: DataFrame, similarity: float, miss: float) -> DataFrame:
     return pairs.select("a", "b", "one", "two").mapInArrow(compare, "a long, b long, matches long")
 
 
-def _lower_words(text: str) -> list[bytes]:
-    return text.encode().translate(bytes([i + 32 if 65 <= i <= 90 else i for i in range(256)])).split()
+def _meeting(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``members`` once for every two blocks of their bucket that meet: low, high and the own block."""
+    return (members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
 
 
-def _set(text: str, length: int) -> set[tuple[bytes, ...]]:
-    own = _lower_words(text)
-    return set(zip(*(own[i:] for i in range(length)))) if len(own) >= length else {tuple(own)}
+class _Group:
+    """Two blocks of a bucket: whom a member may be linked with, by signature, label and earlier bands."""
 
+    def __init__(self, table: pa.Table, rounds: list[tuple[int, int]]):
+        self.rounds, self.values = rounds, _signatures(table["signature"].combine_chunks())
+        self.sid, self.label, self.block = (table[c].to_numpy().copy() for c in ("sid", "component", "block"))
+        self.low, self.high, band = (table[c][0].as_py() for c in ("low", "high", "band"))
+        self.bands = np.array(table["bands"].to_pylist())[:, :band]
 
-def _similar(one: set, two: set, percent: int) -> bool:
-    both = len(one & two)
-    return 100 * both >= percent * (len(one) + len(two) - both)
-
-
-def _verified(pairs: DataFrame, involved: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the similarity, from the words of both texts."""
-    def verify(batches):
-        known: tuple[str, set] = "", set()
-        for batch in batches:
-            keep = []
-            for one, two in zip(column(batch, "one").to_pylist(), column(batch, "two").to_pylist()):
-                if two != known[0]:
-                    known = two, _set(two, shingle)
-                keep.append(_similar(_set(one, shingle), known[1], percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = involved.select(F.col("sid").alias("a"), F.col("text").alias("one"))
-    two = involved.select(F.col("sid").alias("b"), F.col("text").alias("two"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return both.select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
+    def likely(self, i: int) -> np.ndarray:
+        """Members in other components, the likeliest first."""
+        rest = np.flatnonzero((self.label != self.label[i]) & (self.block == self.high)
+                              & ((self.low != self.high) | (self.sid > self.sid[i])))
+        rest = rest[~(self.bands[rest] == self.bands[i]).any(1)]
+        matches, at = np.zeros(len(rest), np.int64), 0
+        for k, least in self.rounds:
+            matches += (self.values[rest, at:k] == self.values[i, at:k]).sum(1)
+            rest, matches, at = rest[matches >= least], matches[matches >= least], k
+        return rest[np.argsort(-matches, kind="stable")]
 
 
-def _across(members: DataFrame, sets: DataFrame, texts: DataFrame, percent: int, shingle: int, miss: float) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, texts_of, percent: int, shingle: int, miss: float, store: Scratch) -> DataFrame:
     """Links (a, b) between different components of a bucket: (key, band, n, sid, component).
 
-    Members are dealt into blocks of about ``BLOCK`` and every two blocks meet in
-    a group of bounded size, which tests a pair if they share no earlier band and
-    nothing links them yet, first by signature, then by text.  A group returns
-    fewer links than it has members.
+    Members are dealt into blocks of about ``BLOCK`` and every two blocks meet in a
+    group of bounded size.  The first time, without texts, groups find the members
+    with a likely partner: sharing no earlier band, linked by nothing yet, alike by
+    signature.  Only these get their texts and meet again, in blocks bounded by
+    bytes too.  A group returns fewer links than it has members.
     """
     rounds = _rounds(percent / 100, miss)
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    met = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-           .join(sets.select("sid", "signature", "bands").join(texts, "sid"), "sid")
-           .select("key", "low", "high", "block", "sid", "component", "band", "signature", "bands", "text"))
+    own = members.join(sets.select("sid", "signature", "bands"), "sid").select("key", "sid", "component", "band", "signature", "bands", "n")
+    own = store(own, "members")
+
+    def alive(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        group, found = _Group(table, rounds), set()
+        for i in np.flatnonzero(group.block == group.low):
+            others = group.likely(i)
+            if len(others):
+                found.update((int(i), *others.tolist()))
+        return table.select(["key", "sid"]).take(pa.array(sorted(found), pa.int64()))
+
+    blocks = own.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")).distinct()
+    likely = store(_meeting(own, blocks).groupBy("key", "low", "high").applyInArrow(alive, "key long, sid long").distinct(), "likely")
+    own = own.join(likely, ["key", "sid"]).join(texts_of(likely.select("sid").distinct()), "sid")
+    own = store(own.withColumn("bytes", F.octet_length("text")), "texts")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        values = _signatures(table["signature"])
-        sid, label, block = (table[c].to_numpy().copy() for c in ("sid", "component", "block"))
-        low, high, band = (table[c][0].as_py() for c in ("low", "high", "band"))
-        bands = np.array(table["bands"].to_pylist())[:, :band]
+        group = _Group(table, rounds)
         known: dict[int, set] = {}
 
         def words_of(i: int) -> set:
             if i not in known:
-                known[i] = _set(table["text"][i].as_py(), shingle)
+                known[i] = shingle_set(table["text"][i].as_py(), shingle)
             return known[i]
 
-        links = []
-        for i in np.flatnonzero(block == low):
-            rest = np.flatnonzero((label != label[i]) & (block == high) & ((low != high) | (sid > sid[i])))
-            rest = rest[~(bands[rest] == bands[i]).any(1)]
-            matches, at = np.zeros(len(rest), np.int64), 0
-            for k, least in rounds:
-                matches += (values[rest, at:k] == values[i, at:k]).sum(1)
-                rest, matches, at = rest[matches >= least], matches[matches >= least], k
-            for j in rest[np.argsort(-matches, kind="stable")]:
-                if label[i] != label[j] and _similar(words_of(i), words_of(j), percent):
-                    links.append((sid[i], sid[j]))
+        links, label = [], group.label
+        for i in np.flatnonzero(group.block == group.low):
+            for j in group.likely(i):
+                if label[i] != label[j] and similar(words_of(int(i)), words_of(int(j)), percent):
+                    links.append((group.sid[i], group.sid[j]))
                     label[label == label[j]] = label[i]
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+    blocks = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    return _meeting(own, blocks).groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def _least() -> Column:
@@ -221,65 +208,65 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, miss:
 
     Rows are linked where 100 * |intersection| >= percent * |union| of their
     sets of ``shingle`` words; the component is named by its smallest doc_id.
-    ``row`` names a column with a stored number of each row, which the result has
-    too; without it, ids and texts are stored with numbers first.
+    ``row`` names a column with a key of each row, which the result has too; then one
+    row of each component is kept, else all that have its smallest id.
     """
-    similarity = percent / 100
-    if row:
-        docs = docs.select(F.col(row).alias("row"), "doc_id", "text")
-    else:
-        docs, number = numbered(docs.select("doc_id", "text"))
-        docs = docs.withColumnRenamed(number, "row")
-    rows = written(signed(docs, shingle), "signed")
+    similarity, spark = percent / 100, docs.sparkSession
+    store = Scratch(spark, "near")
+    docs = docs.select(F.col(row).alias("row"), "doc_id", "text") if row else placed(docs, "doc_id", "text", store=store)
+    rows = store(signed(docs, shingle), "signed")
     sets = (rows.filter("set_key IS NOT NULL").groupBy("set_key")
             .agg(_least(), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
             .select("set_key", "least.doc_id", "least.row", "signature", "bands"))
-    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    sets = store(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+
+    def texts_of(sids: DataFrame) -> DataFrame:
+        """(sid, text): the text of the row that stands for each set."""
+        wanted = sent(store(sets.select("sid", "row").join(sids, "sid", "left_semi"), "wanted"))
+        return docs.select("row", "text").join(wanted, "row").select("sid", "text")
 
     banded = sets.select("sid", F.posexplode("bands").alias("band", "key"))
     pivots = (banded.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("n")).filter("n > 1"))
-    buckets = written(banded.join(pivots, "key"), "buckets")
+    buckets = store(banded.join(sent(store(pivots, "pivots")), "key"), "buckets")
     pairs = buckets.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
     one = sets.select(F.col("sid").alias("a"), F.col("signature").alias("one"))
     two = sets.select(F.col("sid").alias("b"), F.col("signature").alias("two"))
-    likely = written(_survivors(pairs.join(one, "a").join(two, "b"), similarity, miss), "likely")
+    likely = store(_survivors(pairs.join(one, "a").join(two, "b"), similarity, miss), "likely")
 
     first = likely.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
     ends = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid"))).distinct()
-    texts = written(_texts(docs, sets, ends), "texts")
-    links = written(_verified(first, texts, percent, shingle), "links")
-    component = components(links)
+    texts = store(texts_of(ends), "texts")
+    links = store(verified(first, texts, percent, shingle), "links")
+    component = components(links, store)
 
     left = _between(likely.join(first, ["a", "b"], "left_anti"), component)
-    more = written(_verified(left, texts, percent, shingle), "links")
+    more = store(verified(left, texts, percent, shingle), "links")
     if not more.isEmpty():
         links = links.union(more)
-        component = components(links)
+        component = components(links, store)
 
     members = (buckets.filter("n > 2").join(component.withColumnRenamed("node", "sid"), "sid", "left")
                .withColumn("component", F.coalesce("component", "sid")))
     several = (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low <> high").select("key"))
     members = members.join(several, "key")
-    texts = _texts(docs, sets, members.select("sid").distinct())
-    more = written(_across(members, sets, texts, percent, shingle, miss), "links")
+    more = store(_across(members, sets, texts_of, percent, shingle, miss, store), "links")
     if not more.isEmpty():
-        component = components(links.union(more))
+        component = components(links.union(more), store)
 
     of_set = sets.select("sid", "set_key", "doc_id", "row").join(component.withColumnRenamed("node", "sid"), "sid", "left")
     of_set = of_set.withColumn("component", F.coalesce("component", "sid"))
     smallest = (of_set.groupBy("component").agg(_least())
                 .select("component", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first")))
     named = of_set.select("component", "set_key").join(smallest, "component").select("set_key", "component_id", "first")
-    own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (rows.select("row", "doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-            .select(*([F.col("row").alias(row)] if row else []), "doc_id", "n_shingles", own.alias("component_id"),
-                    F.coalesce(F.col("row") == F.col("first"), F.col("n_shingles") == 0).alias("kept")))
-
-
-def _texts(docs: DataFrame, sets: DataFrame, sids: DataFrame) -> DataFrame:
-    """(sid, text) for the sets in ``sids``: the text of the row that stands for each."""
-    return docs.select("row", "text").join(sids.join(sets.select("sid", "row"), "sid"), "row").select("sid", "text")
+    with_words = rows.filter("set_key IS NOT NULL").join(named, "set_key")
+    kept = F.col("row") == F.col("first") if row else F.col("doc_id").eqNullSafe(F.col("component_id"))
+    columns = [*([F.col("row").alias(row)] if row else []), F.col("doc_id"), F.col("n_shingles")]
+    out = (with_words.select(*columns, "component_id", kept.alias("kept"))
+           .unionByName(rows.filter("set_key IS NULL").select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))))
+    out = written(out, "near")
+    store.remove()
+    return out
 
 
 def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:

@@ -70,6 +70,17 @@ def test_blocks_find_what_pivots_miss(spark):
         near.BLOCK = old
 
 
+def test_a_bucket_of_many_texts_that_are_not_linked(spark, monkeypatch):
+    """Texts that share a passage, too unlike to be linked but for a few; blocks bounded by rows and by bytes."""
+    monkeypatch.setattr(near, "BLOCK", 64)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 4000)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = {i: f"{passage} " + " ".join(f"q{rng.randrange(60)}" for _ in range(3 + i % 20)) for i in range(1200)}
+    got = near.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == near_by_force(texts)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     assert [near.least_matches(0.85, 1e-6, k) for k in (28, 140)] == sorted(near.least_matches(0.85, 1e-6, k) for k in (28, 140))
     assert near.least_matches(0.85, 1e-6, 140) < 0.85 * 140 < 140
@@ -168,4 +179,5 @@ def test_stages_keep_one_row_of_each_group(spark):
     assert sorted_rows(corpus_pipeline.exact_stage(spark, docs, "")) == sorted(once + rows[8:10], key=str)
     got = sorted_rows(corpus_pipeline.near_stage(spark, docs, ""))
     assert len(got) == 7 and [r for r in got if r[1] not in (" ".join(base), near_text)] == sorted(once, key=str)
-    assert sum(r["kept"] for r in near.near_duplicates(docs).collect()) == 7
+    # on its own, the operator keeps all rows whose id names their component
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in near.near_duplicates(docs).collect())
