@@ -55,6 +55,37 @@ def test_mixture_reaches_its_targets(documents):
         assert size == source_size and abs(taken - target) <= 0.5 and abs(target - want[s]) < 1e-6
 
 
+def test_taken_against_a_plain_version(documents):
+    """Each source's rows in their order, all of them as often as the target holds them and then the first words."""
+    docs = mixing.placed(documents, "doc_id", "text", "source")
+    rows = mixing._Rows(docs, 64, 17)
+    by_source, want = {}, {}
+    for r in rows.own.collect():
+        by_source.setdefault(r["source"], []).append((r["block"], r["rank"], r["row"], r["doc_id"], r["size"]))
+    goals = mixing.targets([(s, sum(x[4] for x in own)) for s, own in by_source.items()])
+    for source, own in by_source.items():
+        total = sum(x[4] for x in own)
+        whole, left = divmod(round(goals[source]), total) if total else (0, 0)
+        for *_, doc_id, size in sorted(own):
+            want[doc_id] = whole * size + min(left, size)
+            left -= min(left, size)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mixture_sizes(documents).collect()} == want
+
+
+def test_taken_follows_the_tree(documents, monkeypatch):
+    """Shards that draw less than their quotas take less."""
+    want = sum(r["taken"] for r in mixing.mixture_sizes(documents).collect())
+    whole = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: [[q // 2 for q in p] for p in whole(quotas, shards, seed)])
+    assert 0 < sum(r["taken"] for r in mixing.mixture_sizes(documents).collect()) < 0.9 * want
+
+
+def test_identical_rows_are_numbered(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")] * 700 + [(2, "a b", "s"), (None, "a b", None), (None, "a b", None)], "doc_id long, text string, source string")
+    rows = mixing._Rows(mixing.placed(docs, "doc_id", "text", "source"), 4, 1)
+    assert rows.own.select("block", "rank").distinct().count() == 703
+
+
 def test_mixed_rows_are_the_sizes(documents):
     sizes = {r["doc_id"]: r["taken"] for r in mixing.mixture_sizes(documents).collect()}
     mixed = mixing.mixed_documents(documents, shards=4)
@@ -79,11 +110,11 @@ def test_targets_end_inside_one_row_of_many_alike(spark):
     rows += [(5, f"same id {i} " * 30, "b") for i in range(80)] + [(None, "all alike " * 50, "c")] * 90
     rows += [(1000 + i, f"d{i} " * 70, "d") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {(r["doc_id"], len(WORD.findall(r["text"]))): r["source"] for r in docs.collect()}
     sums = {}
-    for r in mixing.taken(docs).selectExpr("source", "size", "size * whole + more AS taken", "target").collect():
-        own = sums.setdefault(r["source"], [0, r["target"]])
+    for r in mixing.mixture_sizes(docs).collect():
+        own = sums.setdefault(source[r["doc_id"], r["size"]], [0, r["target"]])
         own[0] += r["taken"]
-    assert len(sums) == 4 and all(abs(taken - target) <= 0.5 for taken, target in sums.values()), sums
     key = ["doc_id", "size", "source_size", "target", "taken"]
     want, again = (sorted(map(str, mixing.mixture_sizes(d).select(*key).collect())) for d in (docs, docs.repartition(7)))
     assert want == again
