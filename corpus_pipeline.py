@@ -6,9 +6,11 @@ returns the columns of ``documents``; the last returns packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlore.llm.common import documents, numbered, written
+from faultlore.llm.common import Scratch, documents, placed, sent, unused, written
 from faultlore.llm.exact import exact_duplicates
 from faultlore.llm.languages import in_known_language
 from faultlore.llm.mixing import mixed_documents
@@ -21,17 +23,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return in_known_language(docs)
 
 
+def _kept(docs: DataFrame, verdicts: Callable[[DataFrame, str, Scratch], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (rows, name of their keys, store) keeps.
+
+    Only the keys of dropped rows meet the texts, which stay where they are.
+    """
+    row, store = unused(docs, "row"), Scratch(docs.sparkSession, "stage")
+    rows = placed(docs, *docs.columns, name=row)
+    dropped = written(verdicts(rows, row, store).filter("NOT kept").select(row), "dropped")
+    store.remove()
+    return rows.join(sent(dropped), row, "left_anti").select(*docs.columns)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, the one with the smallest id."""
-    rows, row = numbered(docs)
-    return rows.join(exact_duplicates(rows, row=row).filter("kept").select(row), row, "left_semi").select(*docs.columns)
+    return _kept(docs, lambda rows, row, store: exact_duplicates(rows, row=row, store=store))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: five words a shingle, similarity 0.8."""
-    rows, row = numbered(docs)
-    kept = near_duplicates(rows, percent=80, shingle=5, row=row).filter("kept").select(row)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return _kept(docs, lambda rows, row, store: near_duplicates(rows, percent=80, shingle=5, row=row))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
