@@ -6,6 +6,7 @@ Every query reads whole tables.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -26,11 +27,13 @@ from faultlore.operators import explaining as ex
 from faultlore.operators import incidents as inc
 from faultlore.operators import matching as mt
 from faultlore.operators import parsing as ps
+from faultlore.operators import rule_tables
 from faultlore.operators import usage as us
 from faultlore.plans import jobs
-from faultlore.sources import tables
+from faultlore.sources import tables, usage_store
+from faultlore.streaming import incident_store
 from faultlore.streaming import operators as st
-from faultlore.streaming.runs import read_stream_table, run_available
+from faultlore.streaming.runs import partial_sessions, read_stream_table, run_available
 
 
 class Check(NamedTuple):
@@ -92,6 +95,16 @@ def folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark) -> Callable[[DataFrame], DataFrame]:
+    """Stores a table in the shared folder and reads it back."""
+    def store(df: DataFrame) -> DataFrame:
+        path = folder(spark, "stored")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return store
+
+
 def listed(column) -> Column:
     return F.array_join(column, " > ")
 
@@ -411,6 +424,14 @@ def rank_candidates(spark, sf_dir):
     return ranked_of(spark, sf_dir).select("log_id", "rule_id", "confidence", "place")
 
 
+@check(q.sql(q.LOGS + ",\n" + q.HITS, """SELECT h.log_id, h.rule_id, h.rank, r.confidence, r.place::INT AS place, h.match_length::INT AS match_length,
+  h.keyword_hits::INT AS keyword_hits, h.code_hit FROM hits h JOIN ranked r USING (log_id, rule_id)"""))
+def match_rule_table(spark, sf_dir):
+    """The same from rules that are a table, through the index of their literals."""
+    index = rule_tables.rule_index(cat.read_rules(spark), stored(spark))
+    return rule_tables.match_rule_table(busy_logs(spark, sf_dir).select("log_id", "raw_log"), index)
+
+
 @check(q.sql(q.ASSESSED, "SELECT log_id, pattern_id, category, confidence FROM assessed"))
 def best_match(spark, sf_dir):
     return ex.best_match(busy_logs(spark, sf_dir)).select("log_id", "pattern_id", "category", "confidence")
@@ -600,7 +621,11 @@ recorded AS (SELECT o.incident_id, coalesce(i.title, 'No Logs Provided') || CASE
 
 
 def recorded(spark, sf_dir) -> DataFrame:
-    return inc.incident_summary(busy_logs(spark, sf_dir), on_record(spark, sf_dir)).select(
+    return summary_flat(inc.incident_summary(busy_logs(spark, sf_dir), on_record(spark, sf_dir)))
+
+
+def summary_flat(summaries: DataFrame) -> DataFrame:
+    return summaries.select(
         "incident_id", "title", "summary", "severity", "severity_score",
         listed("root_cause_chain").alias("root_cause_chain"),
         F.array_join("affected_systems", ",").alias("affected_systems"),
@@ -646,15 +671,15 @@ def incident_timeline_pages(spark, sf_dir):
 
 @check("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_log,
     generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-kept AS (SELECT * FROM lines WHERE raw_log NOT LIKE '%' || chr(13) || '%')
+kept AS (SELECT * FROM lines)
 SELECT row_number() OVER (ORDER BY doc_id, line) - 1 AS log_id, row_number() OVER (ORDER BY doc_id, line) - 1 AS seq, raw_log,
     'docs' AS source FROM kept""")
 def read_raw_logs_text(spark, sf_dir):
     """Lines of documents as text files in order of ids, read back with ids in file order."""
     path = folder(spark, "raw-text")
-    lines = tables.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").filter("raw_log NOT LIKE '%\\r%'")
+    lines = tables.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
     (lines.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id", "seq").select("raw_log").write.text(path))
-    return tables.read_raw_logs(spark, path, source="docs")
+    return tables.read_raw_logs(spark, path, source="docs", line_sep="\n")
 
 
 # ── usage ───────────────────────────────────────────────────────────
@@ -734,7 +759,46 @@ def rate_limit_breaches(spark, sf_dir):
     """Event types as clients, with an hourly limit the test data can break."""
     requests = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("client"), F.col("ts").alias("created_at"))
-    return us.rate_limit_breaches(requests, limit=3, window="1 hour").withColumn("window_start", stamp("window_start"))
+    return us.rate_limit_breaches(requests, limit=3, window="1 hour", aligned=True).withColumn("window_start", stamp("window_start"))
+
+
+# Requests packed so closely that clients break the default limit of 60 in 60 seconds; one client has half of all.
+DENSE_SQL = """requests AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'busy' WHEN event_id % 4 = 1 THEN event_type ELSE 'user-' || user_id % 40 END AS client,
+  make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // (64000000 // (SELECT count(*) FROM events))) AS t FROM events)"""
+
+
+def dense_requests(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    closer = 64_000_000 // table(spark, sf_dir, "events").count()
+    events = table(spark, sf_dir, "events") if events is None else events
+    start = F.unix_micros(F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    at = F.timestamp_micros(start + F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")) - start, F.lit(closer)))
+    user = F.concat(F.lit("user-"), (F.col("user_id") % 40).cast("string"))
+    client = F.when(F.col("event_id") % 2 == 0, F.lit("busy")).when(F.col("event_id") % 4 == 1, F.col("event_type")).otherwise(user)
+    return events.select(client.alias("client"), at.alias("created_at"))
+
+
+THROTTLE_SQL = "WITH RECURSIVE " + DENSE_SQL + """,
+opened AS (SELECT client, min(t) AS start FROM requests GROUP BY client
+  UNION ALL SELECT o.client, (SELECT min(t) FROM requests r WHERE r.client = o.client AND r.t >= o.start + INTERVAL 60 SECONDS) AS start
+  FROM opened o WHERE o.start IS NOT NULL)
+SELECT o.client, strftime(o.start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS requests
+FROM opened o JOIN requests r ON r.client = o.client AND r.t >= o.start AND r.t < o.start + INTERVAL 60 SECONDS GROUP BY ALL"""
+
+
+def micros(column) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@check(THROTTLE_SQL)
+def throttle_windows(spark, sf_dir):
+    return us.throttle_windows(dense_requests(spark, sf_dir), store=stored(spark)).withColumn("window_start", micros("window_start"))
+
+
+@check(THROTTLE_SQL + " HAVING count(*) > 60")
+def rate_limit_default(spark, sf_dir):
+    """The default limit, 60 in the 60 seconds that a client's first request opens."""
+    breaches = us.rate_limit_breaches(dense_requests(spark, sf_dir), store=stored(spark))
+    return breaches.withColumn("window_start", micros("window_start"))
 
 
 # ── streams ─────────────────────────────────────────────────────────
@@ -790,7 +854,17 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY ts ROWS UNBOUN
 @check(_window_sql(SESSIONS_SQL, f"""SELECT src, min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTES AS w_end, {WINDOW_COUNTS}
   FROM numbered GROUP BY src, session"""))
 def stream_incident_sessions(spark, sf_dir):
-    return windows_flat(run_available(st.stream_incident_sessions(stream_logs(spark, sf_dir)), folder(spark, "sessions")))
+    with partial_sessions(spark):
+        return windows_flat(run_available(st.stream_incident_sessions(stream_logs(spark, sf_dir)), folder(spark, "sessions")))
+
+
+@check(_window_sql(SESSIONS_SQL, f"""SELECT src, min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTES AS w_end, {WINDOW_COUNTS}
+  FROM numbered GROUP BY src, session""").replace(f"WHERE w_end <= {CLOSED}", ""))
+def incident_sessions(spark, sf_dir):
+    """The sessions of a table, sources cut into many ranges of time."""
+    events = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    logs = sample_logs(events.withColumn("event_time", F.col("ts").cast("timestamp")), "event_time")
+    return windows_flat(st.stream_incident_sessions(logs, late=None, slices=40))
 
 
 @check("""SELECT endpoint, window_start, count(*) AS total_requests, count(*) FILTER (endpoint <> 'error') AS successful_requests,
@@ -813,6 +887,81 @@ def stream_rate_limit_breaches(spark, sf_dir):
         "window_start", stamp("window_start"))
 
 
+# Lines of one month around New Year, most of them without a year in their stamps.
+@check("""SELECT event_id AS log_id, strftime(ts - INTERVAL 15 DAYS, '%Y-%m-%d %H:%M:%S') AS event_time FROM events""")
+def event_time(spark, sf_dir):
+    """Five hosts, each with a sequence of its own; stamps in four forms."""
+    eid, at = F.col("event_id"), F.expr("ts - INTERVAL 15 DAYS")
+    forms = (F.when(eid % 7 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(eid % 7 == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+             .when(eid % 7 == 2, F.unix_timestamp(at.cast("timestamp")).cast("string")).otherwise(F.date_format(at, "MMM d HH:mm:ss")))
+    lines = table(spark, sf_dir, "events").select(
+        eid.alias("log_id"), F.concat(F.lit("host"), (F.col("user_id") % 5).cast("string")).alias("host"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), forms.alias("timestamp"))
+    timed = ps.with_event_time(lines, 2023, key="host", slices=40)
+    return timed.select("log_id", stamp("event_time").alias("event_time"))
+
+
+# Lines of an incident by time, ids breaking ties.
+BY_TIME = RECORDED.replace("event_id AS seq", "row_number() OVER (ORDER BY ts, event_id) AS seq")
+
+
+@check(q.sql(BY_TIME, """SELECT incident_id, title, summary, severity, severity_score, coalesce(root_cause_chain, '') AS root_cause_chain,
+  coalesce(affected_systems, '') AS affected_systems, coalesce(recommended_actions, '') AS recommended_actions, total_logs AS total_logs_analyzed,
+  category_breakdown, coalesce(correlations, '') AS correlations FROM incidents_seen"""))
+def stream_incident_summary(spark, sf_dir):
+    """Summaries kept up to date by micro-batches."""
+    path = folder(spark, "incidents")
+    logs = stream_logs(spark, sf_dir)
+    incident_store.stream_incident_summary(logs, path, f"{path}-checkpoint").awaitTermination()
+    return summary_flat(incident_store.read_summaries(spark, path))
+
+
+def recorded_usage(spark, sf_dir) -> str:
+    """Usage recorded as a stream of batches; returns the folder."""
+    path = folder(spark, "usage-store")
+    usage = derived_usage(read_stream_table(spark, sf_dir, "events"))
+    usage_store.record_usage(usage, path, f"{path}-checkpoint").awaitTermination()
+    return path
+
+
+def recorded_facts(spark, sf_dir, path: str) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in usage_of(spark, sf_dir).schema)
+    return usage_store.read_facts(spark, path, schema)
+
+
+@check(q.sql(q.USAGE, """SELECT id, api_key_id, endpoint, status_code, coalesce(response_time_ms, -1) AS response_time_ms,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(created_at, '%Y-%m-%d') AS day FROM usage"""))
+def stream_append_usage(spark, sf_dir):
+    """Facts recorded from a stream, read back with the days they are stored by."""
+    facts = recorded_facts(spark, sf_dir, recorded_usage(spark, sf_dir))
+    return facts.select("id", "api_key_id", "endpoint", "status_code", F.coalesce("response_time_ms", F.lit(-1)).alias("response_time_ms"),
+                        stamp("created_at").alias("created_at"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@check(REGISTRY["usage_stats"].sql)
+def usage_stats_stored(spark, sf_dir):
+    """The report from stored day partials."""
+    path = recorded_usage(spark, sf_dir)
+    stats = usage_store.usage_stats_stored(spark, path, recorded_facts(spark, sf_dir, path), keys_of(spark, sf_dir), dt.datetime(2024, 1, 31))
+    return stats.withColumn("item", F.coalesce("item", F.lit("")))
+
+
+@check(REGISTRY["last_used_per_key"].sql)
+def last_used_stored(spark, sf_dir):
+    """The stored last use of each key."""
+    path = recorded_usage(spark, sf_dir)
+    return usage_store.read_last_used(spark, path, usage_of(spark, sf_dir)).withColumn("last_used_at", stamp("last_used_at"))
+
+
+@check(THROTTLE_SQL.replace("GROUP BY ALL", """WHERE o.start + INTERVAL 60 SECONDS <=
+  (SELECT date_trunc('millisecond', max(t)) - INTERVAL 10 SECONDS FROM requests) GROUP BY ALL"""))
+def stream_throttle_windows(spark, sf_dir):
+    """Windows that clients' first requests open, as far as the stream has closed them."""
+    requests = dense_requests(spark, sf_dir, read_stream_table(spark, sf_dir, "events"))
+    windows = st.stream_throttle_windows(requests, late="10 seconds")
+    return run_available(windows, folder(spark, "throttled")).withColumn("window_start", micros("window_start"))
+
+
 register_fields()
 register_stages()
 register_scores()

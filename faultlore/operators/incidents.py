@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from faultlore.catalogue import BUILTIN_RULES, Rule
 from faultlore.functions import severity as sv
-from faultlore.functions.text import constant
+from faultlore.functions.metadata import extract_timestamp
+from faultlore.functions.slices import SLICE, Slices
+from faultlore.functions.text import constant, trimmed
 from faultlore.operators.explaining import (
     UNKNOWN, UNKNOWN_FIXES, UNKNOWN_ROOT_CAUSE, assess_logs, summary_text)
-from faultlore.operators.parsing import parse_log_line
 
 # Fixed values from here on.
 
@@ -32,6 +33,15 @@ TIMELINE_SUMMARY_LENGTH = 150
 EMPTY_TITLE = "No Logs Provided"
 EMPTY_SUMMARY = "No log entries were provided for incident analysis."
 DASH = " — "
+TITLE_HEAD = " Incident" + DASH
+TITLE_UNKNOWN = "Unrecognized Errors Detected"
+TITLE_SEVERAL = " issue types detected across "
+REASON = "Aggregate of %d logs. Max score: %d. High-severity count: %d. Critical count: %d."
+ANALYZED = "Analyzed %d log entries. Overall severity: %s (score: %d/100)."
+AFFECTED = "Affected systems: "
+CRITICAL_LINES = "%d critical-severity log(s) require immediate attention."
+HIGH_LINES = "%d high-severity log(s) detected."
+CORRELATED = "Correlations found: "
 
 
 class Correlation(NamedTuple):
@@ -101,8 +111,7 @@ def with_aggregate_severity(counted: DataFrame) -> DataFrame:
             .withColumns({
                 "severity": sv.score_to_level(F.col("severity_score")),
                 "severity_reason": F.format_string(
-                    "Aggregate of %d logs. Max score: %d. High-severity count: %d. Critical count: %d.",
-                    "total_logs", "max_score", "high_scores", "critical_scores"),
+                    REASON, "total_logs", "max_score", "high_scores", "critical_scores"),
             }))
 
 
@@ -133,23 +142,34 @@ def _assessed(logs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return logs if set(ASSESSED_COLUMNS) <= set(logs.columns) else assess_logs(logs, rules)
 
 
-def incident_rules(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
-    """Per incident, its counts and ``by_rule``: the rules seen, first seen first.
+#: Counts that add up over parts of an incident; the highest score is taken instead.
+SUMMED = ("total_logs", "high_scores", "critical_scores", "critical_logs", "high_logs")
 
-    ``by_rule`` has at most one element per rule of the catalogue.
-    """
-    assessed = _assessed(logs, rules).filter(F.col("incident_id").isNotNull()).select(
-        "incident_id", "seq", "rank", "severity_score", "severity")
-    per_rule = assessed.groupBy("incident_id", "rank").agg(
-        *severity_counts(), F.min("seq").alias("first_seq"))
+
+def incident_rule_counts(assessed: DataFrame, first: Column | None = None, *more: Column) -> DataFrame:
+    """One record per incident and rule; ``first`` orders lines, ``seq`` if not given.  ``more``: aggregates of that order, as ``seq``."""
+    lines = assessed.filter(F.col("incident_id").isNotNull()).select(
+        "incident_id", (F.col("seq") if first is None else first).alias("seq"), "rank", "severity_score", "severity")
+    return lines.groupBy("incident_id", "rank").agg(*severity_counts(), F.min("seq").alias("first_seq"), *more)
+
+
+def incident_rules_of(per_rule: DataFrame) -> DataFrame:
+    """``incident_rules`` from records per incident and rule."""
     return per_rule.groupBy("incident_id").agg(
         F.max("max_score").alias("max_score"),
-        *[F.sum(c).alias(c) for c in
-          ("total_logs", "high_scores", "critical_scores", "critical_logs", "high_logs")],
+        *[F.sum(c).alias(c) for c in SUMMED],
         F.array_sort(F.collect_list(F.struct(
             "first_seq", "rank", F.col("total_logs").alias("logs")))).alias("by_rule"))
 
 
+def incident_rules(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
+    """Per incident, its counts and ``by_rule``: the rules seen, first seen first.
+
+    ``by_rule`` has at most one element per rule of the catalogue.
+    """
+    return incident_rules_of(incident_rule_counts(_assessed(logs, rules)))
+
+
 def detect_correlations(signs: Column, correlations: Sequence[Correlation] = CORRELATIONS) -> Column:
     """Texts of the correlations that hold, given the categories and rule ids seen."""
     texts = []
@@ -167,11 +187,11 @@ def category_label(category: Column) -> Column:
 
 def incident_title(severity: Column, patterns: Column, first_summary: Column,
                    top_category: Column) -> Column:
-    head = F.concat(severity, F.lit(" Incident" + DASH))
-    return (F.when(patterns == 0, F.concat(head, F.lit("Unrecognized Errors Detected")))
+    head = F.concat(severity, F.lit(TITLE_HEAD))
+    return (F.when(patterns == 0, F.concat(head, F.lit(TITLE_UNKNOWN)))
             .when(patterns == 1, F.concat(head, F.substring(first_summary, 1, TITLE_SUMMARY_LENGTH)))
             .otherwise(F.concat(head, patterns.cast("string"),
-                                F.lit(" issue types detected across "),
+                                F.lit(TITLE_SEVERAL),
                                 category_label(top_category))))
 
 
@@ -185,16 +205,14 @@ def incident_summary_text() -> Column:
         "affected_systems", lambda c: F.replace(c, F.lit("_"), F.lit(" "))), ", ")
     return F.concat_ws(
         " ",
-        F.format_string("Analyzed %d log entries. Overall severity: %s (score: %d/100).",
-                        "total_logs", "severity", "severity_score"),
+        F.format_string(ANALYZED, "total_logs", "severity", "severity_score"),
         F.when(F.size("affected_systems") > 0,
-               F.concat(F.lit("Affected systems: "), systems, F.lit("."))),
-        F.when(F.col("critical_logs") > 0, F.format_string(
-            "%d critical-severity log(s) require immediate attention.", "critical_logs")),
+               F.concat(F.lit(AFFECTED), systems, F.lit("."))),
+        F.when(F.col("critical_logs") > 0, F.format_string(CRITICAL_LINES, "critical_logs")),
         F.when(F.col("high_logs") > 0,
-               F.format_string("%d high-severity log(s) detected.", "high_logs")),
+               F.format_string(HIGH_LINES, "high_logs")),
         F.when(F.size("correlations") > 0, F.concat(
-            F.lit("Correlations found: "), F.array_join("correlations", "; "), F.lit("."))))
+            F.lit(CORRELATED), F.array_join("correlations", "; "), F.lit("."))))
 
 
 def incident_facts(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
@@ -202,12 +220,18 @@ def incident_facts(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
     """What a summary says of each incident: counts, ``severity``, ``known`` (ranks of
     the rules seen), ``breakdown``, ``top_category``, ``affected_systems``,
     ``root_cause_chain``, ``recommended_actions`` and ``correlations``."""
+    return incident_facts_of(incident_rules(logs, rules), rules, correlations)
+
+
+def incident_facts_of(rules_seen: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
+                      correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
+    """``incident_facts`` from what ``incident_rules`` tells."""
     ids = [UNKNOWN] + [r.rule_id for r in rules]
     categories = [UNKNOWN] + [r.category for r in rules]
     causes = [UNKNOWN_ROOT_CAUSE] + [r.root_cause for r in rules]
     fixes = [list(UNKNOWN_FIXES)] + [list(r.recommended_fixes) for r in rules]
 
-    seen = with_aggregate_severity(incident_rules(logs, rules))
+    seen = with_aggregate_severity(rules_seen)
     seen = seen.withColumns({
         "by_rule": F.transform("by_rule", lambda r: F.struct(
             r["rank"].alias("rank"), r["logs"].alias("logs"),
@@ -233,21 +257,12 @@ def incident_facts(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
     }).withColumn("top_category", F.array_max("breakdown")["category"])
 
 
-def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
-                     rules: Sequence[Rule] = BUILTIN_RULES,
-                     correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
-    """One summary row per incident.
-
-    ``logs`` has ``incident_id, seq, raw_log``, or the columns of a table that
-    ``plans.jobs`` assessed before; ``seq`` is unique per incident and gives the
-    input order.  ``incidents`` (``incident_id, context``) adds context
-    to titles and yields the empty summary for incidents without any line.
-    """
-    seen = incident_facts(logs, rules, correlations)
+def incident_summary_of(seen: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
+    """Summary rows from what ``incident_facts`` tells."""
     summaries = [""] + [r.summary for r in rules]
     first_summary = F.coalesce(_by_rank(
         summaries, "string", F.try_element_at("known", F.lit(1))), F.lit(""))
-    summary = seen.select(
+    return seen.select(
         "incident_id",
         incident_title(F.col("severity"), F.size("known"), first_summary, F.col("top_category")).alias("title"),
         incident_summary_text().alias("summary"),
@@ -257,6 +272,19 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
         F.map_from_entries(F.transform("breakdown", lambda b: F.struct(
             b["category"].alias("key"), b["logs"].alias("value")))).alias("category_breakdown"),
         "correlations")
+
+
+def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
+                     rules: Sequence[Rule] = BUILTIN_RULES,
+                     correlations: Sequence[Correlation] = CORRELATIONS) -> DataFrame:
+    """One summary row per incident.
+
+    ``logs`` has ``incident_id, seq, raw_log``, or the columns of a table that
+    ``plans.jobs`` assessed before; ``seq`` is unique per incident and gives the
+    input order.  ``incidents`` (``incident_id, context``) adds context
+    to titles and yields the empty summary for incidents without any line.
+    """
+    summary = incident_summary_of(incident_facts(logs, rules, correlations), rules)
     if incidents is None:
         return summary
 
@@ -278,60 +306,36 @@ def incident_summary(logs: DataFrame, incidents: DataFrame | None = None,
 # ── time line ───────────────────────────────────────────────────────
 
 
-#: Beginnings of time stamps that are counted in levels; whatever the form of a
-#: stamp, few differ within one of them, and none is a whole epoch or date.
-STAMP_LEVELS = (6, 12, 18)
+def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES, slices: int | None = None,
+                      collation: str | None = None) -> DataFrame:
+    """One row per line with its ``position`` in the incident's time line:
+    by time stamp text, lines without one last, ties by ``seq``.
 
+    Raw lines are sorted once, before they are explained.  An incident with more than
+    its share of all lines is cut into ranges of this order, which are sorted by
+    tasks of their own; a line's position is its place in the range after the
+    lines in the ranges before, which are counted from stamps alone.
 
-def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES,
-                      block: int = 1_000_000) -> DataFrame:
-    """One row per line with its ``position`` in the incident's time line:
-    by time stamp text (by code point), lines without one last, ties by ``seq``.
-
-    A plain ``row_number`` per incident would sort a hot incident in one task.
-    Here lines are numbered within small cells (one time stamp text and one
-    stretch of ``seq``) and each cell starts at the number of lines before it.
-    That number is summed level by level over counts of ever longer beginnings of
-    the stamp, so no window sees more than the beginnings that follow one
-    beginning, also where every stamp differs.
-
-    ``seq`` should be filled and unique per incident: lines without it come last
-    among equal stamps, in no fixed order, and are in one cell.  Lines without an
-    ``incident_id`` belong to no incident and are left out, as in the summary.
+    Stamps are ordered by code point, or by ``collation``, such as ``UNICODE``.  ``seq``
+    should be filled and unique per incident: lines without it come last among equal
+    stamps, ordered by a hash of their text.  Lines without an ``incident_id`` belong to
+    no incident and are left out, as in the summary.
     """
-    stamp = F.coalesce("timestamp", F.lit(""))
-    levels = [f"_level{i}" for i in range(len(STAMP_LEVELS))]
-    cells = {
-        "_missing": F.col("timestamp").isNull(), "_stamp": stamp,
-        "_stretch": F.coalesce(F.floor(F.col("seq") / F.lit(block)), F.lit(1 << 62)),
-        **{c: F.substring(stamp, 1, n) for c, n in zip(levels, STAMP_LEVELS)},
-    }
-    parents = [["incident_id"], *(["incident_id", "_missing", *levels[:i + 1]] for i in range(len(levels)))]
-    cell = ["incident_id", "_missing", *levels, "_stamp", "_stretch"]
-
-    def before(keys: list[str], order: list[str]) -> Column:
-        return F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order)) - F.col("_n")
-
-    stamps = logs if "timestamp" in logs.columns else parse_log_line(logs)
-    stamps = stamps.filter("incident_id IS NOT NULL").select("incident_id", "seq", "timestamp").withColumns(cells)
-    starts = (stamps.groupBy(*cell).agg(F.count("*").alias("_n"))
-              .withColumn("_before", before(parents[-1], ["_stamp", "_stretch"])))
-    for above, keys in zip(parents[:-1], parents[1:]):
-        order = [c for c in keys if c not in above]
-        ahead = (starts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-                 .withColumn("_ahead", before(above, order)).drop("_n"))
-        starts = starts.join(ahead, keys).withColumn("_before", F.col("_before") + F.col("_ahead")).drop("_ahead")
-    starts = starts.drop("_n")
-
-    events = _assessed(logs, rules).filter("incident_id IS NOT NULL").select(
-        "incident_id", "seq", "timestamp",
-        F.substring(summary_text(F.col("rank"), F.col("log_level"), rules),
-                    1, TIMELINE_SUMMARY_LENGTH).alias("summary"),
-        "severity", "category").withColumns(cells)
-    within = F.row_number().over(Window.partitionBy(*cell).orderBy(F.asc_nulls_last("seq")))
-    return events.join(starts, cell).select(
-        "incident_id", (F.col("_before") + within).alias("position"),
-        "seq", "timestamp", "summary", "severity", "category")
+    stamp = F.col("timestamp") if set(ASSESSED_COLUMNS) <= set(logs.columns) else extract_timestamp(trimmed(F.col("raw_log")))
+    lines = logs.filter("incident_id IS NOT NULL").withColumn("_stamp", stamp)
+    text = F.coalesce("_stamp", F.lit(""))
+    tie = F.xxhash64(*(c for c in ("raw_log", "log_id") if c in logs.columns))
+    order = [F.col("_stamp").isNull(), F.collate(text, collation) if collation else text,
+             F.col("seq").isNull(), F.col("seq"), F.when(F.col("seq").isNull(), tie)]
+    ranges = Slices(lines, "incident_id", order, slices)
+    slim = ranges.cut_only(lines).groupBy("incident_id", SLICE).agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("incident_id", SLICE).orderBy(*order))
+    placed = ranges.with_carry(ranges.cut(lines).withColumn("_place", place), slim, _before=F.sum("_n"))
+    placed = placed.withColumn("position", F.col("_place") + F.coalesce("_before", F.lit(0)))
+    return _assessed(placed.drop("_stamp", "_place", "_before", SLICE), rules).select(
+        "incident_id", "position", "seq", "timestamp",
+        F.substring(summary_text(F.col("rank"), F.col("log_level"), rules), 1, TIMELINE_SUMMARY_LENGTH).alias("summary"),
+        "severity", "category")
 
 
 def incident_timeline_pages(timeline: DataFrame, page_size: int = 100) -> DataFrame:

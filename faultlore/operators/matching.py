@@ -187,25 +187,46 @@ def rank_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> D
         F.col("_c.code_hit").alias("code_hit"))
 
 
-def keyword_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
-    """One row per line and rule with a keyword in the line; ``place`` is the order
-    in which the keyword index comes upon the rules."""
-    ids = [r.rule_id for r in rules]
+@lru_cache(maxsize=8)
+def _keyword_index(rules: tuple[Rule, ...]) -> tuple[str, list[list[dict]], list[list[str]]]:
+    """The regex that finds keywords, what each found text stands for (by hash bucket), and the rules of each keyword.
+
+    A text stands for the numbers of the keywords that begin it, itself included.
+    """
     index: dict[str, list[str]] = {}
     for r in rules:
         for k in r.keywords:
             index.setdefault(k.lower(), []).append(r.rule_id)
-    entries = constant([{"keyword": k, "rules": v} for k, v in index.items()],
-                       "array<struct<keyword:string,rules:array<string>>>")
-    lowered = F.col(_LOWERED)
-    hit = F.filter(entries, lambda e: F.contains(lowered, e["keyword"]))
-    found = F.array_distinct(F.flatten(F.transform(hit, lambda e: e["rules"])))
+    numbers = {k: n for n, k in enumerate(index, start=1) if k}
+    buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+    for text in numbers:
+        begun = [n for k, n in numbers.items() if text.startswith(k)]
+        buckets[zlib.crc32(text.encode()) % _BUCKETS].append({"text": text, "numbers": begun})
+    return f"(?=({prefix_tree_regex(set(numbers))}))" if numbers else "(?!)()", buckets, list(index.values())
+
+
+def keyword_candidates(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
+    """One row per line and rule with a keyword in the line; ``place`` is the order
+    in which the keyword index comes upon the rules.
+
+    A line is read once: at each place the prefix tree reports the longest keyword that
+    begins there, which stands for the shorter ones that begin it, so overlapping
+    keywords are all found.
+    """
+    find, buckets, rules_of = _keyword_index(tuple(rules))
+    bucket = constant(buckets, "array<array<struct<text:string,numbers:array<int>>>>")
     kept = logs.columns
-    return (logs.withColumn(_LOWERED, F.lower("raw_log"))
+    texts = F.array_distinct(F.regexp_extract_all(F.lower("raw_log"), F.lit(find), F.lit(1)))
+    numbers = F.flatten(F.transform(texts, lambda t: F.flatten(F.transform(
+        F.filter(F.element_at(bucket, (F.crc32(t.cast("binary")) % _BUCKETS + 1).cast("int")), lambda e: e["text"] == t),
+        lambda e: e["numbers"]))))
+    found = F.array_distinct(F.flatten(F.transform(F.array_sort(F.array_distinct("_numbers")), lambda n: F.element_at(
+        constant(rules_of, "array<array<string>>"), n))))
+    ids = constant([r.rule_id for r in rules], "array<string>")
+    return (logs.select(*kept, numbers.alias("_numbers"))
             .select(*kept, F.posexplode(found).alias("_place", "rule_id"))
             .select(*kept, (F.col("_place") + 1).alias("place"), "rule_id",
-                    F.array_position(constant(ids, "array<string>"), F.col("rule_id"))
-                    .cast("int").alias("rank")))
+                    F.array_position(ids, F.col("rule_id")).cast("int").alias("rank")))
 
 
 def rule_regex_predicate(rule: Rule) -> Column:

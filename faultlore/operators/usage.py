@@ -12,6 +12,7 @@ and no skewed join.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,23 +60,32 @@ def usage_for_user(usage: DataFrame, keys: DataFrame, user_id) -> DataFrame:
     return usage.join(own, "api_key_id", "left_semi")
 
 
-def usage_rollup(usage: DataFrame, keys: DataFrame) -> DataFrame:
-    """Requests per owner, day (UTC) and endpoint; every usage report is a sum of these."""
-    per_key = usage.groupBy(
+def day_partials(usage: DataFrame) -> DataFrame:
+    """Requests per key, day (UTC) and endpoint: what reports are summed from, and partials can be summed on."""
+    return usage.groupBy(
         "api_key_id", F.date_format(utc_day(usage, "created_at"), "yyyy-MM-dd").alias("day"), "endpoint"
     ).agg(
         F.count("*").alias("requests"),
         F.count_if(status_class(F.col("status_code"))).alias("successful"),
         F.sum(F.coalesce("response_time_ms", F.lit(0)).cast("bigint")).alias("response_ms"),
         F.max("created_at").alias("last_used"))
+
+
+def owned(partials: DataFrame, keys: DataFrame) -> DataFrame:
+    """Partials per owner, day and endpoint."""
     owners = keys.select(F.col("id").alias("api_key_id"), "user_id")
-    return per_key.join(owners, "api_key_id").groupBy("user_id", "day", "endpoint").agg(
+    return partials.join(owners, "api_key_id").groupBy("user_id", "day", "endpoint").agg(
         F.sum("requests").alias("requests"),
         F.sum("successful").alias("successful"),
         F.sum("response_ms").alias("response_ms"),
         F.max("last_used").alias("last_used"))
 
 
+def usage_rollup(usage: DataFrame, keys: DataFrame) -> DataFrame:
+    """Requests per owner, day (UTC) and endpoint; every usage report is a sum of these."""
+    return owned(day_partials(usage), keys)
+
+
 def usage_totals(rollup: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Totals per owner.  With ``users`` (``user_id``), also zeros for idle ones."""
     total = F.col("total_requests")
@@ -112,7 +122,11 @@ def usage_stats(usage: DataFrame, keys: DataFrame, as_of: Column, days: int = DE
 
     Parts are the four totals, ``requests_by_day`` and ``requests_by_endpoint``.
     """
-    rollup = usage_rollup(usage_recent_filter(usage, as_of, days), keys)
+    return usage_stats_of(usage_rollup(usage_recent_filter(usage, as_of, days), keys), keys, users)
+
+
+def usage_stats_of(rollup: DataFrame, keys: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The report from a rollup of the days it covers."""
     idle = (users if users is not None else keys).select("user_id").distinct()
     zeros = idle.select("user_id", *(F.lit(None).cast("string").alias(c) for c in ("day", "endpoint")),
                         *(F.lit(0).cast("bigint").alias(c) for c in ("requests", "successful", "response_ms")),
@@ -156,7 +170,7 @@ def attribute_requests(requests: DataFrame, keys: DataFrame, as_of: Column, salt
         "key_hash", F.col("id").alias("api_key_id"), "user_id", "is_active", "expires_at",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     dealt = requests.withColumns({"key_hash": F.sha2("presented_key", 256),
-                                  "_salt": F.pmod(F.xxhash64(*requests.columns), F.lit(salts)).cast("int")})
+                                  "_salt": F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")})
     joined = dealt.join(known, ["key_hash", "_salt"], "left")
     good = F.coalesce(key_is_good(as_of), F.lit(False))
     return (joined
@@ -182,10 +196,80 @@ def keys_by_created(keys: DataFrame, user_id=None) -> DataFrame:
                       "last_used_at", "expires_at").orderBy("user_id", F.desc("created_at"), "id")
 
 
+def micros_of(window: str) -> int:
+    """Length of an interval of whole microseconds, such as ``60 seconds``."""
+    number, unit = window.split()
+    length = {"microsecond": 1, "millisecond": 1000, "second": 10 ** 6, "minute": 60 * 10 ** 6,
+              "hour": 3600 * 10 ** 6, "day": 86400 * 10 ** 6}[unit.removesuffix("s")]
+    if int(number) < 1:
+        raise ValueError("the window must be positive")
+    return int(number) * length
+
+
+def throttle_windows(requests: DataFrame, client: str = "client", at: str = "created_at",
+                     window: str = RATE_WINDOW, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Windows that a client's first request opens: ``client, window_start, requests``.
+
+    A window ends ``window`` after its first request, and the next request opens the
+    next one.  Which requests open windows is found by pointer doubling: each request
+    points to the first one that lies a window or more later, marks spread along
+    pointers of 1, 2, 4, ... steps, and start at the requests that follow a pause of a
+    window or more.  All joins are by client and clock-aligned stretch of time, in
+    which at most one window begins, so a client with most requests is spread over
+    its stretches.  ``store`` stores the tables of the rounds and returns them as read
+    back; else rounds are checkpointed.
+
+    Requests without a client or a time are left out.
+    """
+    width = micros_of(window)
+    store = store or (lambda df: df.checkpoint())
+    times = (requests.select(F.col(client).alias("client"), F.unix_micros(F.col(at).cast("timestamp")).alias("t")).dropna()
+             .groupBy("client", "t").agg(F.count("*").alias("n")))
+    # whole numbers only: the quotient of a double could be off at the edge of a stretch
+    times = store(times.withColumn("stretch", F.expr(f"(t - pmod(t, {width}L)) div {width}L")))
+    # a request's window ends one stretch later: the next one opens there, or else with the first request of the stretch
+    # after that, or else after a pause
+    first = times.groupBy("client", "stretch").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    ends = times.select("client", (F.col("stretch") + 1).alias("stretch"), (F.col("t") + width).alias("after"), F.col("t").alias("of"))
+    asked = times.select("client", "stretch", F.col("t").alias("after"), F.lit(None).cast("bigint").alias("of"), F.col("t").alias("to"))
+    later = Window.partitionBy("client", "stretch").orderBy(F.desc("after"), F.col("of").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    steps = (ends.withColumn("to", F.lit(None).cast("bigint")).unionByName(asked)
+             .withColumn("to", F.last("to", ignorenulls=True).over(later)).filter("of IS NOT NULL")
+             .join(first.select("client", (F.col("stretch") - 1).alias("stretch"), F.col("first").alias("next")), ["client", "stretch"], "left")
+             .select("client", F.col("of").alias("t"), F.coalesce("to", "next").alias("to")).filter("to IS NOT NULL"))
+    # a stretch that nothing precedes follows a pause
+    paused = (first.join(first.select("client", (F.col("stretch") + 1).alias("stretch"), F.col("last").alias("before")),
+                         ["client", "stretch"], "left"))
+    pause = F.lag("t").over(Window.partitionBy("client", "stretch").orderBy("t"))
+    starts = (times.withColumn("lag", pause).join(paused.select("client", "stretch", "before"), ["client", "stretch"])
+              .filter(F.coalesce("lag", "before").isNull() | (F.col("t") - F.coalesce("lag", "before") >= width))
+              .select("client", "t"))
+    marked, steps = store(starts), store(steps)
+    while not steps.isEmpty():
+        reached = marked.join(steps, ["client", "t"]).select("client", F.col("to").alias("t"))
+        marked = store(marked.union(reached).distinct())
+        further = steps.select("client", F.col("t").alias("to"), F.col("to").alias("beyond"))
+        steps = store(steps.join(further, ["client", "to"]).select("client", "t", F.col("beyond").alias("to")))
+    opened = marked.select("client", F.col("t").alias("start"), F.explode(F.array(*(
+        F.expr(f"(t - pmod(t, {width}L)) div {width}L") + i for i in (0, 1)))).alias("stretch"))
+    counted = (times.join(opened, ["client", "stretch"]).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + width))
+               .groupBy("client", "start").agg(F.sum("n").alias("requests")))
+    kind = requests.schema[at].dataType
+    return counted.select(F.col("client").alias(client), F.timestamp_micros("start").cast(kind).alias("window_start"), "requests")
+
+
 def rate_limit_breaches(requests: DataFrame, client: str = "client", at: str = "created_at",
-                        limit: int = RATE_LIMIT, window: str = RATE_WINDOW) -> DataFrame:
-    """Client windows with more requests than the limit; windows are clock-aligned."""
-    return (requests.groupBy(client, F.window(at, window).alias("w"))
-            .agg(F.count("*").alias("requests"))
-            .filter(F.col("requests") > limit)
-            .select(client, F.col("w.start").alias("window_start"), "requests"))
+                        limit: int = RATE_LIMIT, window: str = RATE_WINDOW, aligned: bool = False,
+                        store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Client windows with more requests than the limit.
+
+    A client's first request opens a window (``throttle_windows``); ``aligned``
+    counts by windows of the clock instead, without any order among requests.
+    """
+    if aligned:
+        counted = (requests.groupBy(client, F.window(at, window).alias("w")).agg(F.count("*").alias("requests"))
+                   .select(client, F.col("w.start").alias("window_start"), "requests"))
+    else:
+        counted = throttle_windows(requests, client, at, window, store)
+    return counted.filter(F.col("requests") > limit)

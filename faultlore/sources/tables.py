@@ -11,15 +11,16 @@ RAW_LOGS_DDL = "log_id bigint, seq bigint, incident_id string, raw_log string, s
 
 
 def read_raw_logs(spark: SparkSession, path: str, fmt: str = "text", source: str | None = None,
-                  line_column: str = "raw_log") -> DataFrame:
+                  line_column: str = "raw_log", line_sep: str | None = None) -> DataFrame:
     """Log lines from text (one per line), JSON or Parquet as ``log_id, seq, raw_log, source``.
 
     Files with a ``log_id`` column keep it as it is, null where a row has none.
     Other files get one from 0, without gaps: files by path, lines by place in the
-    file.  ``seq`` is the given one, or else ``log_id``.
+    file.  ``seq`` is the given one, or else ``log_id``.  Lines of text end at line feeds and
+    carriage returns, or at ``line_sep`` alone.
     """
     if fmt == "text":
-        logs = spark.read.text(path)
+        logs = spark.read.text(path, lineSep=line_sep)
     elif fmt == "json":
         given = set(spark.read.json(path).columns)
         ddl = [f for f in RAW_LOGS_DDL.replace("raw_log string", f"`{line_column}` string").split(", ")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,15 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+@contextmanager
+def partial_sessions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside merge the sessions of a task's own rows before these are shuffled."""
+    name = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

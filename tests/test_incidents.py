@@ -2,8 +2,11 @@ import random
 import re
 
 
+from pyspark.sql import functions as F
+
 from faultlore.catalogue import BUILTIN_RULES
 from faultlore.operators import explaining as ex
+from faultlore.functions.slices import SLICE, Slices
 from faultlore.operators import incidents as inc
 from tests.fixtures import LINES
 
@@ -94,7 +97,7 @@ def test_own_correlation(spark):
 
 
 def test_timeline_of_a_hot_incident(spark):
-    """Positions equal a plain sort, with blocks far smaller than the incident."""
+    """Positions equal a plain sort, with ranges far smaller than the incident."""
     rng = random.Random(5)
     stamps = [None, "2026-02-11T10:30:00Z", "2026-02-11T10:30:00Z", "2026-02-11T10:30:59Z",
               "2026-02-11T10:31:00Z", "2026-02-12 00:00:00", "Feb 11 10:30:00", "1700000000"]
@@ -103,7 +106,7 @@ def test_timeline_of_a_hot_incident(spark):
         rows += [(incident, i, f"{rng.choice(stamps) or ''} ERROR ECONNREFUSED 10.0.0.1:5432") for i in range(n)]
     logs = spark.createDataFrame(rows, "incident_id string, seq long, raw_log string").repartition(5)
     got = {}
-    for r in inc.incident_timeline(logs, block=50).collect():
+    for r in inc.incident_timeline(logs, slices=20).collect():
         got.setdefault(r["incident_id"], []).append((r["position"], r["seq"], r["timestamp"]))
     for incident, n in (("hot", 600), ("small", 7), ("one", 1)):
         events = sorted(got[incident])
@@ -122,14 +125,47 @@ def test_timeline_pages_are_complete(spark):
 
 def test_timeline_keeps_lines_without_seq_and_never_sorts_an_incident(spark):
     stamps = ["1700000000123", "Feb 11 10:30:00", "2026-02-11T10:30:00Z", ""]
-    rows = [("hot", None if i == 5 else i, f"{stamps[i % 4]} ERROR x") for i in range(40)] + [(None, 1, "ERROR y")]
+    rows = [("hot", None if i % 5 == 0 else i, f"{stamps[i % 4]} ERROR x {i}") for i in range(400)] + [(None, 1, "ERROR y")]
     logs = spark.createDataFrame(rows, "incident_id string, seq long, raw_log string")
-    timeline = inc.incident_timeline(logs, block=4)
-    assert sorted(r["position"] for r in timeline.collect()) == list(range(1, 41))
-
-    plan = timeline._jdf.queryExecution().executedPlan().toString()
-    windows = re.findall(r"row_number\(\)[^\n]*windowspecdefinition\(([^\n]*)", plan)
-    assert windows and all("_stretch" in w for w in windows)
+    timeline = inc.incident_timeline(logs, slices=16)
+    got = sorted((r["position"], r["timestamp"], r["seq"]) for r in timeline.collect())
+    assert [p for p, _, _ in got] == list(range(1, 401))
+    assert [(t, s) for _, t, s in got] == sorted(
+        ((t, s) for _, t, s in got), key=lambda e: (e[0] is None, e[0] or "", e[1] is None, e[1] or 0))
+    # one window over lines, by incident and range; the other runs over counts of ranges
+    plan = timeline._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Window \[row_number", plan)) == 1 and len(re.findall(r"windowspecdefinition\(incident_id#\d+, _slice#\d+, ", plan)) == 1
+    # the sort comes before the rules: lines are explained once, where they end up
+    executed = timeline._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    assert plan.index("regexp_extract_all(") < plan.index("Window [row_number") and "Sort [" in executed
+
+
+def test_ranges_of_large_groups_alone(spark):
+    """Bounds are picked for groups with more than their share, and hold about as many rows each."""
+    rows = [("hot", i * 7919 % 5003) for i in range(5000)] + [(f"k{i % 300}", i) for i in range(900)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "key string, at long").repartition(4)
+    ranges = Slices(df, "key", [F.col("at")], slices=10)
+    cut = ranges.cut(df)
+    assert cut.count() == len(rows) and {r["key"] for r in ranges.bounds.collect()} == {"hot"}
+    sizes = [r["count"] for r in cut.filter("key = 'hot'").groupBy(SLICE).count().collect()]
+    assert sum(sizes) == 5000 and 6 <= len(sizes) <= 12 and max(sizes) < 1200
+    assert cut.filter("key <> 'hot' OR key IS NULL").select(SLICE).distinct().collect() == [(0,)]
+    highest = cut.filter("key = 'hot'").groupBy(SLICE).agg(F.min("at").alias("low"), F.max("at").alias("high")).orderBy(SLICE).collect()
+    assert all(a["high"] < b["low"] for a, b in zip(highest, highest[1:]))
+    assert Slices(df.filter("false"), "key", [F.col("at")]).cut(df).filter(f"{SLICE} <> 0").count() == 0
+
+
+def test_timeline_in_the_order_of_a_locale(spark):
+    """By code point, capitals come before all small letters; in a locale, letters of either case stay together."""
+    rows = [("i", i, f"{t} ERROR x") for i, t in enumerate(["2026-02-11T10:30:00Z", "2026-02-11t10:30:00Z", "2026-02-11 10:30:00"])]
+    logs = spark.createDataFrame(rows, "incident_id string, seq long, raw_log string")
+    plain = [r["timestamp"] for r in inc.incident_timeline(logs).orderBy("position").collect()]
+    assert plain == sorted(plain, key=lambda t: (t is None, t or ""))
+    located = inc.incident_timeline(logs, collation="UNICODE")
+    assert sorted(r["position"] for r in located.collect()) == [1, 2, 3]
+    assert dict(located.dtypes)["timestamp"] == "string"
+    assert "collate" in located._jdf.queryExecution().analyzed().toString().lower()
 
 
 def test_counts_shrink_before_the_shuffle(spark):

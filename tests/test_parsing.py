@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,29 @@ def test_event_time(spark):
     feb = dt.datetime(2026, 2, 1, 10, 30)
     assert got == [feb.replace(day=11), feb.replace(day=11), feb, feb,
                    dt.datetime(2023, 11, 14, 22, 13, 20), dt.datetime(2023, 11, 14, 22, 13, 20), None, None]
+
+
+@pytest.mark.parametrize("slices", [1, 9])
+def test_years_follow_from_the_order_of_lines(spark, slices):
+    """Three New Years, lines out of order around them, stamps with a year in between, and a second sequence."""
+    rng = random.Random(3)
+    start = dt.datetime(2022, 12, 20)
+    times = [start + dt.timedelta(hours=5 * i) for i in range(4000)]  # until 2025
+    rows = []
+    for i, t in enumerate(times):
+        t += dt.timedelta(hours=rng.choice([0, 0, 0, -30, 17]))
+        form = rng.choice(["%b %d %H:%M:%S"] * 4 + ["%Y-%m-%d %H:%M:%S", ""])
+        rows.append(("a", i, f"{t:%b} {t.day:2d} {t:%H:%M:%S}" if form.startswith("%b") else t.strftime(form) or None, t if form else None))
+    rows += [("b", i, t.strftime("%b %d %H:%M:%S"), t) for i, t in enumerate([dt.datetime(2022, 12, 31, 23, 59, 59), dt.datetime(2023, 1, 1)])]
+    df = spark.createDataFrame(rows, "host string, seq long, timestamp string, want timestamp").repartition(4)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    got = ps.with_event_time(df, 2022, key="host", slices=slices)
+    assert got.columns == ["host", "seq", "timestamp", "want", "event_time"]
+    assert got.filter("NOT event_time <=> want").collect() == []
+    # a sequence without a key, and times in a zone of their own, whatever the session's
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        zoned = ps.with_event_time(df.filter("host = 'b'"), 2022, zone="Europe/Berlin").select(F.unix_timestamp("event_time")).orderBy("seq")
+        assert [r[0] for r in zoned.collect()] == [1672527599, 1672527600]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

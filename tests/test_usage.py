@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import hashlib
 
 import pytest
@@ -95,11 +96,52 @@ def test_negative_days():
 
 
 def test_rate_limit(spark):
-    rows = [("a", D1 + dt.timedelta(seconds=i % 60)) for i in range(61)]
-    rows += [("b", D1 + dt.timedelta(seconds=i)) for i in range(60)] + [("a", D1 + dt.timedelta(seconds=60))]
+    """A window opens with a client's first request and ends 60 s later to the microsecond."""
+    start = D1 + dt.timedelta(seconds=30)
+    rows = [("a", start + dt.timedelta(seconds=i % 60)) for i in range(61)]
+    rows += [("b", start + dt.timedelta(seconds=i)) for i in range(60)] + [("a", start + dt.timedelta(seconds=60))]
     df = spark.createDataFrame(rows, "client string, created_at timestamp")
     got = [(r["client"], r["window_start"], r["requests"]) for r in us.rate_limit_breaches(df).collect()]
-    assert got == [("a", D1, 61)]
+    assert got == [("a", start, 61)]
+    # windows of the clock see at most 31 in either minute
+    assert us.rate_limit_breaches(df, aligned=True).count() == 0
+    assert {r["requests"] for r in us.rate_limit_breaches(df, aligned=True, limit=30).collect()} == {31}
+
+
+def windows_by_force(rows, seconds):
+    out, opened = {}, {}
+    for client, t in sorted(r for r in rows if None not in r):
+        if client not in opened or t >= opened[client] + dt.timedelta(seconds=seconds):
+            opened[client] = t
+        out[client, opened[client]] = out.get((client, opened[client]), 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 60])
+def test_throttle_windows(spark, seconds):
+    """A client with half of all requests, one at a steady rate, pauses, ties, and requests at the very edge."""
+    rng = random.Random(seconds)
+
+    def at(micros):
+        return D1 + dt.timedelta(microseconds=micros)
+
+    rows = [("busy", at(rng.randrange(200_000_000))) for _ in range(600)]
+    rows += [("steady", at(1_000_000 * i)) for i in range(150)]
+    rows += [("edge", at(500_000 + k * seconds * 1_000_000 + d)) for k in range(40) for d in (-1, 0, 1)]
+    rows += [("pauses", at(rng.randrange(20) * 100_000_000 + rng.randrange(9_000_000))) for _ in range(150)]
+    rows += [("twice", at(5))] * 4 + [("before", D1 - dt.timedelta(days=20000, microseconds=-3))] * 2
+    rows += [(f"c{rng.randrange(60)}", at(rng.randrange(300_000_000))) for _ in range(200)]
+    rows += [(None, at(1)), ("none", None)]
+    df = spark.createDataFrame(rows, "client string, created_at timestamp").repartition(3)
+    found = us.throttle_windows(df, window=f"{seconds} seconds")
+    assert {(r["client"], r["window_start"]): r["requests"] for r in found.collect()} == windows_by_force(rows, seconds)
+
+
+def test_no_requests_and_odd_windows(spark):
+    none = spark.createDataFrame([], "client string, created_at timestamp")
+    assert us.throttle_windows(none).collect() == []
+    with pytest.raises(ValueError):
+        us.throttle_windows(none, window="0 seconds")
 
 
 def test_requests_are_summed_before_the_join(spark):
