@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, in bytes; bounds its memory.
 SLICE_BYTES = 4 << 20
+#: Rows sent to a Python worker at once while a table is stored.
+BATCH = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends ``BATCH`` rows to a Python worker at once, so that rows with two texts take little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables that an operator stores for its own use, and removes once its result is stored."""
 
@@ -57,7 +73,8 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.tables += 1
         path = f"{self.path}/{name}-{self.tables}"
-        df.write.parquet(path)
+        with _small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

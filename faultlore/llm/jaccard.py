@@ -196,15 +196,16 @@ def allocated(costly: DataFrame, percent: int, shingle: int) -> DataFrame:
         for batch in batches:
             for part, data, offsets in slices(batch):
                 _, _, hashes, limits = words(data, offsets, lower=True)
+                out: tuple[list, list, list] = ([], [], [])
                 for sid, of, low, high in zip(column(part, "sid").to_pylist(), column(part, "costly"), limits[:-1], limits[1:]):
                     roles: dict[bool, dict[int, int]] = {}
                     for one in of.as_py():
                         roles.setdefault(one["lower"], {})[one["segment"]] = one["n"]
                     for kind, keys in made(shingle_hashes(hashes[low:high], shingle), roles, bands):
-                        n = len(keys)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, sid, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(keys.view(np.int64))],
-                            names=["sid", "kind", "key"])
+                        out[0].append(np.full(len(keys), sid, np.int64))
+                        out[1].append(np.full(len(keys), kind, np.int32))
+                        out[2].append(keys.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["sid", "kind", "key"])
 
     return costly.select("sid", "text", "costly").mapInArrow(allocate, MADE)
 

@@ -35,7 +35,7 @@ BUCKETS = 1 << 15
 ROUNDS, PENALTY = 8, 3.0
 SMOOTHING = 0.5
 #: Text handled at once, in bytes; trigrams and their probabilities take about a hundred times as much memory.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _LETTER: np.ndarray | None = None
 
 

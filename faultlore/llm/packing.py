@@ -34,7 +34,7 @@ from faultlore.llm.common import column, slices, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Units of text that a Python worker remembers the ids of; their longest.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 100_000, 48
 
 
 class Encoder:
