@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -44,9 +46,10 @@ ALLOWED = re.compile(r"""
     | [0-9+/_=.-]+                                          # numbers, dates, rulers
     | WORD([+/_=.-]+WORD)*                                  # words and compounds of words
     | ([A-Za-z0-9_-]+\.)+[A-Za-z]{2,}(/[A-Za-z0-9_.=-]*)*   # hosts
-    | [./]*([a-z0-9_.-]+/)+[a-z0-9_.-]*                     # paths
     | .*(EXAMPLE|example|placeholder|x{6,}|X{6,}).*         # said to be none
 """.replace("WORD", _WORD), re.X)
+_PATH = re.compile(r"[a-z0-9_./-]+")
+_BELOW = re.compile(r"\./\.*$")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -74,15 +77,32 @@ def hot_windows(word: str, alphabet: frozenset[str], least: float, window: int =
     return out
 
 
+def is_path(word: str) -> bool:
+    """Whether ``word`` is one or more named folders, each ended by a slash, and perhaps a name, after any dots and slashes."""
+    if not _PATH.fullmatch(word):
+        return False
+    rest = word.lstrip("./")
+    if "/" in rest:
+        return "//" not in rest
+    return _BELOW.search(word[:len(word) - len(rest)]) is not None
+
+
+def allowed(word: str) -> bool:
+    return is_path(word) or ALLOWED.fullmatch(word) is not None
+
+
 def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Base spans (start, kind, end) in order, and the spans that entropy adds."""
     base = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    base.sort()
+    starts = [low for low, _, _ in base]
+    ends = list(accumulate((high for _, _, high in base), max))  # the farthest end of the spans up to each
     more: set[tuple[int, int]] = set()
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if ALLOWED.fullmatch(word):
+        if allowed(word):
             continue
         spans = sorted(s for alphabet, least in CLASSES.values() for s in hot_windows(word, alphabet, least))
         joined: list[tuple[int, int]] = []
@@ -93,9 +113,10 @@ def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]
                 joined.append((low, high))
         for low, high in joined:
             low, high = low + m.start(), high + m.start()
-            if not any(a <= low and high <= b for a, _, b in base):
+            upto = bisect_right(starts, low)
+            if not upto or ends[upto - 1] < high:
                 more.add((low, high))
-    return sorted(base), sorted(more)
+    return base, sorted(more)
 
 
 KINDS = "assign", "access", "hex", "entropy"

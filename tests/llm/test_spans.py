@@ -1,7 +1,9 @@
 """Personal data and secrets against plain matching of the base patterns."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -127,3 +129,31 @@ def test_spans_of_many_numbers_across_chunks(spark):
     at, mail = text.index("+49"), text.index("x@y")
     assert (row["n_card"], row["n_phone"], row["n_email"]) == (1, 1, 1)
     assert {"card:0:19", f"phone:{at}:{at + 14}", f"email:{mail}:{mail + 7}"} <= set(row["spans"].split(","))
+
+
+def test_paths_as_by_their_pattern():
+    """The plain check agrees with the pattern it stands for, which takes quadratic time."""
+    pattern = re.compile(r"[./]*([a-z0-9_.-]+/)+[a-z0-9_.-]*")
+    rng = random.Random(3)
+    for _ in range(30_000):
+        word = "".join(rng.choices("a.b/./-A_"[:rng.choice((4, 6, 9))], k=rng.randint(1, 9)))
+        assert sec.is_path(word) == (pattern.fullmatch(word) is not None), word
+
+
+def test_spans_inside_base_spans_are_not_added():
+    rng = random.Random(4)
+    for _ in range(200):
+        key = "".join(rng.choices("abcdef0123456789", k=rng.randint(10, 60)))
+        text = " ".join(rng.choice([f"token={key}", key, f"AKIA{key.upper()}", f"{key}/{key}Zq9", "a word"]) for _ in range(6))
+        base, more = sec.scanned(text)
+        assert base == sorted(base) and not any(a <= low and high <= b for a, _, b in base for low, high in more)
+
+
+def test_long_texts_take_time_in_proportion():
+    """A megabyte of keys, of paths, of dots: each within seconds."""
+    rng = random.Random(5)
+    keys = " ".join("token=" + "".join(rng.choices("abcdefXYZ0123456789", k=30)) for _ in range(28_000))
+    for text in (keys, "./" * 500_000, "." * 1_000_000, "a/" * 500_000, "a" * 1_000_000, "aB" * 500_000):
+        start = time.perf_counter()
+        sec.scanned(text)
+        assert time.perf_counter() - start < 20
