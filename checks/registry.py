@@ -887,6 +887,28 @@ def stream_rate_limit_breaches(spark, sf_dir):
         "window_start", stamp("window_start"))
 
 
+@check(q.sql(RECORDED, """SELECT incident_id, title, summary, severity, severity_score, root_cause_chain, affected_systems, recommended_actions,
+  total_logs_analyzed, category_breakdown, correlations FROM recorded"""))
+def job_incident_report(spark, sf_dir):
+    """The summaries of the whole job, incidents without lines included."""
+    summary, _ = jobs.incident_report(busy_logs(spark, sf_dir), folder(spark, "report"), on_record(spark, sf_dir))
+    return summary_flat(summary)
+
+
+@check(q.sql(q.EXPLAINED + ",\n" + TIMELINE_SQL, "SELECT * FROM timeline"))
+def job_incident_timeline(spark, sf_dir):
+    """The time line of the whole job, from the table of assessed lines."""
+    _, timeline = jobs.incident_report(busy_logs(spark, sf_dir), folder(spark, "report"))
+    return timeline.withColumn("timestamp", F.coalesce("timestamp", F.lit("")))
+
+
+@check(REGISTRY["usage_stats"].sql)
+def job_usage_report(spark, sf_dir):
+    """The usage report of the whole job."""
+    report = jobs.usage_report(usage_of(spark, sf_dir), keys_of(spark, sf_dir), folder(spark, "usage-report"), as_of())
+    return report.withColumn("item", F.coalesce("item", F.lit("")))
+
+
 # Lines of one month around New Year, most of them without a year in their stamps.
 @check("""SELECT event_id AS log_id, strftime(ts - INTERVAL 15 DAYS, '%Y-%m-%d %H:%M:%S') AS event_time FROM events""")
 def event_time(spark, sf_dir):

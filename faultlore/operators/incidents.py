@@ -318,13 +318,13 @@ def incident_timeline(logs: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES, sl
 
     Stamps are ordered by code point, or by ``collation``, such as ``UNICODE``.  ``seq``
     should be filled and unique per incident: lines without it come last among equal
-    stamps, ordered by a hash of their text.  Lines without an ``incident_id`` belong to
+    stamps, ordered by a hash of their text or of what has been found in it.  Lines without an ``incident_id`` belong to
     no incident and are left out, as in the summary.
     """
     stamp = F.col("timestamp") if set(ASSESSED_COLUMNS) <= set(logs.columns) else extract_timestamp(trimmed(F.col("raw_log")))
     lines = logs.filter("incident_id IS NOT NULL").withColumn("_stamp", stamp)
     text = F.coalesce("_stamp", F.lit(""))
-    tie = F.xxhash64(*(c for c in ("raw_log", "log_id") if c in logs.columns))
+    tie = F.xxhash64(*([c for c in ("raw_log", "log_id") if c in logs.columns] or [c for c in ASSESSED_COLUMNS if c != "seq"]))
     order = [F.col("_stamp").isNull(), F.collate(text, collation) if collation else text,
              F.col("seq").isNull(), F.col("seq"), F.when(F.col("seq").isNull(), tie)]
     ranges = Slices(lines, "incident_id", order, slices)

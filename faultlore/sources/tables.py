@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from faultlore.functions.text import utc_day
 
+#: Splits whose counts may be broadcast: a row each, of a path and two numbers.
+FEW_SPLITS = 100_000
 RAW_LOGS_DDL = "log_id bigint, seq bigint, incident_id string, raw_log string, source string"
 
 
@@ -45,8 +47,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """``rows`` of files with ``log_id``: by path, then by place in the file, from 0.
 
     Rows are counted per split of a file; a split starts at the number of rows in
-    the splits before it.  Only one row per split is sorted.
+    the splits before it.  Only one row per split is sorted, and as long as there are no
+    more than ``FEW_SPLITS`` of them, they are sent to the rows, which stay where they are.
     """
+    most = len(rows.inputFiles()) + rows.rdd.getNumPartitions()
     split = {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
              "_id": F.monotonically_increasing_id()}
     placed = rows.withColumns(split)
@@ -56,7 +60,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     in_path = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start")) - F.col("_n")
     starts = splits.withColumn("_before", in_path).join(paths, "_path").select(
         "_path", "_start", "_first", (F.col("_before") + F.col("_files_before")).alias("_before"))
-    return (placed.join(starts, ["_path", "_start"])
+    return (placed.join(F.broadcast(starts) if most <= FEW_SPLITS else starts, ["_path", "_start"])
             .withColumn("log_id", F.col("_id") - F.col("_first") + F.col("_before"))
             .drop("_path", "_start", "_id", "_first", "_before"))
 
