@@ -368,18 +368,20 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int
     buckets = store(buckets.join(central, "sid"), "buckets")
     # the most central member that probes, if possible an indexed one
     pivots = (buckets.filter("probe").groupBy("key").agg(F.max(F.struct("index", "score", F.col("sid").alias("pivot"), F.col("size").alias("of_size"))).alias("m"))
-              .select("key", "m.pivot", "m.of_size", F.col("m.index").alias("full")))
-    pairs = (buckets.join(pivots, "key").filter("sid <> pivot AND (index OR full AND probe)").filter(_close(percent))
-             .select(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).distinct())
-    pairs = store(pairs, "pairs")
+              .select("key", "m.pivot", "m.of_size", F.col("m.index").alias("full"), F.col("m.score").alias("of_score")))
+    met = (buckets.join(pivots, "key").filter("sid <> pivot AND (index OR full AND probe)").filter(_close(percent))
+           .select("sid", "pivot", "of_score"))
 
     def linked(some: DataFrame) -> DataFrame:
         possible = store(_possible(some, sets, percent), "possible")
         ends = possible.select(F.col("a").alias("sid")).union(possible.select(F.col("b").alias("sid"))).distinct()
         return store(verified(possible, store(texts_of(ends), "texts"), percent, shingle), "links")
 
-    links = linked(pairs)
+    # of the pivots that a set meets, the most central; others only where that does not join the bucket
+    first = store(met.groupBy(F.col("sid").alias("a")).agg(F.max_by("pivot", F.struct("of_score", "pivot")).alias("b")), "first")
+    links = linked(first)
     component = components(links, store)
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def divided(of: DataFrame) -> DataFrame:
         """Members of the buckets that still hold several components."""
@@ -388,11 +390,11 @@ def jaccard_join(docs: DataFrame, percent: int = 90, shingle: int = 3, hot: int
                    .filter("low <> high").select("key"))
         return members.join(several, "key")
 
-    members = store(divided(buckets.filter(F.col("n").between(3, hot))), "members")
+    members = store(divided(buckets.filter(F.col("n") <= hot)), "members")
     other = members.select("key", F.col("sid").alias("of"), F.col("size").alias("of_size"), F.col("component").alias("of_component"), "index")
     more = (members.filter("probe").drop("index").join(other.filter("index"), "key").filter("component <> of_component").filter(_close(percent))
             .select(F.greatest("sid", "of").alias("a"), F.least("sid", "of").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
+            .join(tried, ["a", "b"], "left_anti"))
     more = store(more, "pairs")
     found = not more.isEmpty()
     if found:
