@@ -151,16 +151,16 @@ def _kept(counts: DataFrame, documents: int, store: Scratch) -> tuple[DataFrame,
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 * (count + 1) / (total + terms)), exact for any long."""
-    over = (count.cast("decimal(20,0)") + 1) * F.lit(SCALE).cast("decimal(10,0)")
-    return F.call_function("div", over, (total.cast("decimal(20,0)") + terms)) + 1
+    """1 + floor(10^9 * (count + 1) / (total + terms)), exact for any long: as decimals where 64 bits do not hold the product."""
+    wide = F.call_function("div", (count.cast("decimal(20,0)") + 1) * F.lit(SCALE).cast("decimal(10,0)"), (total.cast("decimal(20,0)") + terms))
+    return F.when(count < SCALE, F.call_function("div", (count + 1) * F.lit(SCALE).cast("long"), total + terms)).otherwise(wide) + 1
 
 
 def _value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _pairs(terms: DataFrame, shares: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(terms: DataFrame, by_count: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every two sources of a language."""
     mine = groups.select("lang", "source", "grp", "total", "terms", "lacking")
     other = groups.select("lang", F.col("source").alias("item"), F.col("grp").alias("of_grp"), F.col("total").alias("of_total"), F.col("lacking").alias("q0"))
@@ -168,18 +168,19 @@ def _pairs(terms: DataFrame, shares: DataFrame, groups: DataFrame) -> DataFrame:
     nothing = _value(F.col("lacking"), F.col("q0"))
     base = both.select("grp", "of_grp", F.when(F.col("terms") > 0, F.col("terms") * nothing).otherwise(0).alias("value"))
     # a source's terms are as good as their counts where the other lacks them
-    by_count = shares.groupBy("grp", "n").agg(F.count("*").alias("times"))
     p, q = _share(F.col("n"), F.col("total"), F.col("terms")), _share(F.col("n"), F.col("of_total"), F.col("terms"))
     one = by_count.join(both, "grp").select("grp", "of_grp", (F.col("times") * (_value(p, F.col("q0")) - nothing)).alias("value"))
     two = (by_count.withColumnRenamed("grp", "of_grp").join(both, "of_grp")
            .select("grp", "of_grp", (F.col("times") * (_value(F.col("lacking"), q) - nothing)).alias("value")))
     # a term meets each other source that has it: at most as many rows as its language has sources
-    met = terms.select("of", F.inline("of")).select("grp", "n", F.explode("of").alias("other")).filter("grp <> other.grp")
-    met = met.select("grp", "n", F.col("other.grp").alias("of_grp"), F.col("other.n").alias("of_n"))
-    met = met.groupBy("grp", "of_grp", "n", "of_n").agg(F.count("*").alias("times")).join(both, ["grp", "of_grp"])
-    q = _share(F.col("of_n"), F.col("of_total"), F.col("terms"))
-    change = _value(p, q) - _value(p, F.col("q0")) - _value(F.col("lacking"), q) + nothing
-    met = met.select("grp", "of_grp", (F.col("times") * change).alias("value"))
+    own = sent(groups.select("grp", "total", "terms", "lacking"))
+    item = sent(groups.select(F.col("grp").alias("of_grp"), F.col("total").alias("of_total"), F.col("lacking").alias("q0")))
+    met = terms.select("of", F.inline("of")).join(own, "grp").withColumn("p", p).select(
+        "grp", "p", "terms", "lacking", F.explode("of").alias("other")).filter("grp <> other.grp")
+    met = met.select("grp", "p", "terms", "lacking", F.col("other.grp").alias("of_grp"), F.col("other.n").alias("of_n")).join(item, "of_grp")
+    met = met.withColumn("q", _share(F.col("of_n"), F.col("of_total"), F.col("terms")))
+    change = _value(F.col("p"), F.col("q")) - _value(F.col("p"), F.col("q0")) - _value(F.col("lacking"), F.col("q")) + nothing
+    met = met.groupBy("grp", "of_grp").agg(F.sum(change).alias("value"))
     sums = base.unionByName(one).unionByName(two).unionByName(met).groupBy("grp", "of_grp").agg(F.sum("value").alias("value"))
     return sums.join(both.select("grp", "of_grp", "lang", "source", "item"), ["grp", "of_grp"]).select("lang", "source", "item", "value")
 
@@ -215,7 +216,8 @@ def source_divergence(docs: DataFrame, documents: int = 3, top: int = 200, of=di
     counts = store(counted(docs.withColumn("grp", grp), of), "counts")
     terms, strings = _kept(counts, documents, store)
     flat = terms.select("digest", "split", "lang_n", F.inline("of"))
-    totals = flat.groupBy("grp").agg(F.sum("n").alias("total"))
+    by_count = store(flat.groupBy("grp", "n").agg(F.count("*").alias("times")), "by_count")
+    totals = by_count.groupBy("grp").agg(F.sum(F.col("n") * F.col("times")).alias("total"))
     # all groups of a term are of one language
     of_lang = (terms.select(F.col("of")[0]["grp"].alias("grp"), "lang_n").groupBy("grp").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
                .join(names, "grp").groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("lang_total").alias("lang_total")))
@@ -226,7 +228,7 @@ def source_divergence(docs: DataFrame, documents: int = 3, top: int = 200, of=di
         "grp", "digest", "split", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
         _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = _pairs(terms, shares, groups).withColumn("rank", F.row_number().over(order))
+    pairs = _pairs(terms, by_count, groups).withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", F.col("item"), F.col("value").cast("long").alias("value"), "rank"]
     out = (pairs.select(F.lit("pair").alias("part"), *columns)
            .unionByName(_reported(shares, groups, strings, top, store).select(F.lit("term").alias("part"), *columns)))
