@@ -7,8 +7,9 @@ good (trusted target).  A text's score is its log-likelihood ratio between the t
 per n-gram, and a text is kept if it scores no less than ``QUANTILE`` of the trusted
 texts do.  All of it is made of built-in functions.
 
-The trusted target is at most ``TRUSTED`` labelled rows, taken by hash, whose ids are
-broadcast; the raw counts cover every document, the model has ``BUCKETS`` numbers.
+The trusted target is all rows labelled as good; the raw counts cover every document.
+The model has ``BUCKETS`` numbers, and the least score kept is found by narrowing
+counts of ranges of scores, so neither grows with the corpus.
 
 Edge cases.  Null and blank texts have no words and fail the base rules.  Without
 trusted rows all scores are 0 and the base rules decide.  Rows with a null ``doc_id``
@@ -20,18 +21,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from math import log
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import written
+from faultlore.llm.common import Scratch, sent, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 RUN = 8
-BUCKETS, TRUSTED, QUANTILE = 10_000, 20_000, 0.01
+BUCKETS, QUANTILE = 10_000, 0.01
+#: Ranges that scores are counted in at once, and scores that are read at once.
+RANGES, FEW = 1000, 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,23 +103,54 @@ def base(text: Column, hashes: Column) -> dict[str, Column]:
     }
 
 
-def quality(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+def of_rank(scores: DataFrame, rank: int, ranges: int = RANGES, few: int = FEW) -> float:
+    """The number at place ``rank`` (from 0) of the column ``score``, in order; ``scores`` is a stored table without nulls."""
+    score = F.col("score")
+    low, high, n = scores.agg(F.min(score), F.max(score), F.count("*")).first()
+    while low < high and n > few:
+        width = (high - low) / ranges
+        at = F.least(F.floor((score - low) / width), F.lit(ranges - 1)) if width > 0 else (score > low).cast("int")
+        parts = (scores.filter(score.between(low, high)).groupBy(at.alias("at"))
+                 .agg(F.min(score).alias("low"), F.max(score).alias("high"), F.count("*").alias("n")).collect())
+        for _, low, high, n in sorted(parts, key=lambda r: r["at"]):
+            if rank < n:
+                break
+            rank -= n
+    if low == high:
+        return low
+    return sorted(r[0] for r in scores.filter(score.between(low, high)).select(score).collect())[rank]
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """As ``percentile``, in memory that does not grow with the rows."""
+    n = scores.count()
+    if not n:
+        return None
+    place = (n - 1) * share
+    below, above = floor(place), ceil(place)
+    low = of_rank(scores, below)
+    high = low if above == below else of_rank(scores, above)
+    return low if low == high else (above - place) * low + (place - below) * high
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept of each row of ``docs`` (doc_id, text)."""
-    good = (labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted))
-    good = good.select(F.col("doc_id").alias("good"))
-    own = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-           .join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull()))
-    weights = F.from_json(F.lit(json.dumps(ratios(counted(own)))), "array<double>")
+    scratch = Scratch(docs.sparkSession, "quality")
+    good = sent(scratch(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct(), "good"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trusted = own.join(good, F.col("doc_id") == F.col("good"), "left").withColumn("trusted", F.col("good").isNotNull())
+    weights = F.from_json(F.lit(json.dumps(ratios(counted(trusted)))), "array<double>")
 
     def measured(hashes: Column) -> Column:
         score = F.aggregate(ngrams(hashes), F.lit(0.0), lambda total, b: total + F.get(weights, b))
         score = F.when(F.size(hashes) == 0, 0.0).otherwise(score / (2 * F.size(hashes)))
         return F.struct(*(c.alias(name) for name, c in base(F.col("text"), hashes).items()), score.alias("score"))
 
-    rows = own.select("doc_id", "trusted", let(word_hashes(F.col("text")), measured).alias("m")).select("doc_id", "trusted", "m.*")
+    rows = own.select("doc_id", let(word_hashes(F.col("text")), measured).alias("m")).select("doc_id", "m.*")
     rows = written(rows, "quality")
-    least = rows.filter("trusted").agg(F.percentile("score", F.lit(QUANTILE)).alias("least")).first()["least"]
+    scores = scratch(rows.join(good, F.col("doc_id") == F.col("good"), "left_semi").select("score"), "scores")
+    least = quantile(scores, QUANTILE)
+    scratch.remove()
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (rows.drop("trusted").withColumn("base_failed", failed)
+    return (rows.withColumn("base_failed", failed)
             .withColumn("kept", ~failed & (F.col("score") >= F.lit(least if least is not None else 0.0))))

@@ -7,10 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultlore.llm import languages as lang
 from faultlore.llm.common import slices
 from faultlore.llm import quality as ql
+from faultlore.llm.languages import held_out
 from faultlore.llm import toxicity as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +47,34 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
 
 
+def taught_last(spark, n, learned, most):
+    """``n`` ids, and those of them that come after the first ``most`` learnable ones by hash."""
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    found = [r[0] for r in ids.filter(learned).orderBy(F.xxhash64("doc_id")).collect()]
+    return ids, sorted(found[most:])
+
+
+def test_quality_counts_every_trusted_row(spark):
+    ids, late = taught_last(spark, 20_300, F.lit(True), 20_000)
+    plain, rare = " ".join(f"word{i}" for i in range(24)), " ".join(f"odd{i}" for i in range(24))
+    docs = ids.withColumn("text", F.when(F.col("doc_id").isin(late), rare).otherwise(plain))
+    rows = ql.quality(docs, ids.withColumn("quality", F.lit(1))).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in rows} == {True: 20_300}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 0.999, 1.0])
+def test_quantile_as_percentile(spark, tmp_path, share):
+    at = str(tmp_path / "scores")
+    spark.range(5000).select((F.when(F.col("id") % 3 == 0, -1.5).otherwise(F.rand(3) - 0.5)).alias("score")).write.parquet(at)
+    scores = spark.read.parquet(at)
+    assert ql.quantile(scores, share) == scores.agg(F.percentile("score", F.lit(share))).first()[0]
+    n = scores.count()
+    ordered = sorted(r[0] for r in scores.collect())
+    for rank in (0, 1700, n - 1):
+        assert ql.of_rank(scores, rank, ranges=7, few=5) == ordered[rank]
+    assert ql.quantile(scores.filter("score > 9"), share) is None
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     rows = lang.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -138,6 +168,26 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and np.mean([g < 0.5 for g in good]) > 0.98
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids, late = taught_last(spark, 21_000, ~held_out(5, 0), 16_000)
+    assert len(late) > 400
+    bad = F.col("doc_id").isin(late)
+    text = F.when(bad, "we saw a zarkblat there").otherwise("we saw a house there")
+    rows = tx.toxicity(ids.withColumn("text", text), ids.withColumn("toxic", bad.cast("int"))).filter("NOT held_out")
+    assert {(r[0], r[1]) for r in rows.select(bad, "predicted").distinct().collect()} == {(True, 1), (False, 0)}
+
+
+def test_curve_as_newton_steps_in_memory(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, toxic long")
+    beta, own = tx._fitted(rows, ("a", "b"), "toxic"), np.hstack([np.ones((3000, 1)), x])
+    p = 1 / (1 + np.exp(-own @ beta))
+    assert np.abs(own.T @ (y - p) - np.array([1e-6, 0.1, 0.1]) * beta).max() < 1e-6
+    assert (beta == tx._fitted(rows.repartition(7), ("a", "b"), "toxic")).all()
+
+
 def test_disguised_toxic_text_scores_high(spark):
     clean = [f"the house number {i} stands near the river and many people like it" for i in range(300)]
     toxic = [f"you are a stupid idiot and a worthless moron number {i} near the river" for i in range(60)]
