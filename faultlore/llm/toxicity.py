@@ -13,9 +13,9 @@
    by log odds learned from labelled rows; a logistic curve over a text's largest
    weight, their sum and number makes the score.
 
-The classifier is fitted on at most ``SAMPLE`` labelled rows, taken by hash, and
-keeps at most ``FEATURES`` features and ``VOCABULARY`` known words of these rows; all bound what is broadcast.  The character
-model covers all texts and has a fixed size.
+All labelled rows that are not held out teach: words, log odds (three rows in four, by hash) and the curve (the
+others), whose Newton steps are sums over a table.  The model keeps at most ``FEATURES`` features and ``VOCABULARY``
+known words, which bounds what is broadcast.  The character model covers all texts and has a fixed size.
 
 Edge cases.  Null and empty texts are scored from no feature.  Without labels of
 both kinds every score is 0.  A row with a null ``doc_id`` is not held out, has no
@@ -28,14 +28,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlore.llm.common import column, slices
+from faultlore.llm.common import Scratch, column, sent, slices
 from faultlore.llm.languages import held_out
 from faultlore.llm.words import mixed, words
 
-SAMPLE, FEATURES, VOCABULARY = 16_000, 50_000, 50_000
+FEATURES, VOCABULARY = 50_000, 50_000
 #: Bytes of the beginnings of words that are features, and the least evidence for one in standard deviations.
 BEGINNINGS, EVIDENCE = (4, 5, 6), 4.0
 
@@ -141,10 +141,10 @@ class Vocabulary:
         self.beginnings = {word[:k] for word in counts for k in range(1, len(word) + 1)}
 
 
-def known_words(sample: DataFrame) -> Vocabulary:
-    """The most frequent words of a-z in ``sample`` (text) that occur twice or more."""
+def known_words(docs: DataFrame) -> Vocabulary:
+    """The most frequent words of a-z in ``docs`` (text) that occur twice or more."""
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    rows = (sample.select(word).filter(F.col("word").rlike(f"^[a-z]{{1,{LONGEST_WORD}}}$")).groupBy("word")
+    rows = (docs.select(word).filter(F.col("word").rlike(f"^[a-z]{{1,{LONGEST_WORD}}}$")).groupBy("word")
             .agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY)).toArrow()
     return Vocabulary(dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist())))
 
@@ -276,7 +276,7 @@ def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, known: di
     return text, value
 
 
-def _weights(sample: DataFrame, model: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def _weights(learned: DataFrame, model: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes in order and their log odds, from (text, toxic)."""
     def count(batches):
         known: dict[str, list[str]] = {}
@@ -290,11 +290,11 @@ def _weights(sample: DataFrame, model: np.ndarray, vocabulary: Vocabulary) -> tu
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(bad)],
                                                  names=["feature", "n", "bad"])
 
-    rates = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+    rates = learned.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not rates["n"] or rates["bad"] in (0, rates["n"]):
         return np.zeros(0, np.uint64), np.zeros(0)
     share = rates["bad"] / rates["n"]
-    grouped = sample.mapInArrow(count, "feature long, n long, bad long").groupBy("feature").agg(
+    grouped = learned.mapInArrow(count, "feature long, n long, bad long").groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     expected = F.col("n") * share
     evidence = (F.col("bad") - expected) / F.sqrt(expected * (1 - share) + 1)
@@ -333,32 +333,52 @@ class Scorer:
         return out
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton steps; the constant comes first."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    beta = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
+#: Summands are rounded to this part of 1 and added as whole numbers, so that sums do not depend on the order of tasks.
+_PART = 2.0 ** -40
+
+
+def _fitted(rows: DataFrame, names: tuple[str, ...], label: str, ridge: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton steps over a stored table; the constant comes first."""
+    x = [F.lit(1.0), *map(F.col, names)]
+    places = [(i, j) for i in range(len(x)) for j in range(i + 1)]
+    beta = np.zeros(len(x))
+    penalty = ridge * np.eye(len(x))
     penalty[0, 0] = 1e-6
+
+    def total(value: Column, name: str) -> Column:
+        return F.sum(F.round(value / _PART).cast("decimal(20,0)")).alias(name)
+
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
+        z = sum((x[i] * float(beta[i]) for i in range(1, len(x))), F.lit(float(beta[0])))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+        sums = rows.withColumn("_p", p).agg(
+            *(total(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j], f"h{i}{j}") for i, j in places),
+            *(total((F.col(label) - F.col("_p")) * own, f"g{i}") for i, own in enumerate(x))).first()
+        hessian = np.zeros((len(x), len(x)))
+        for i, j in places:
+            hessian[i, j] = hessian[j, i] = float(sums[f"h{i}{j}"]) * _PART
+        slope = np.array([float(sums[f"g{i}"]) * _PART for i in range(len(x))])
+        step = np.linalg.solve(hessian + penalty, slope - penalty @ beta)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     model = character_model(character_counts(docs))
-    # by hash, so the sample neither follows the order of the rows nor changes
-    chosen = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(5, 0))
-              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    learned = docs.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)))
-    vocabulary = known_words(learned)
-    feature, weight = _weights(learned.filter("part > 0").select("text", "toxic"), model, vocabulary)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    taught = sent(scratch(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(5, 0))
+                          .groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")), "labels"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
+
+    def learned(some: Column) -> DataFrame:
+        return docs.filter(~held_out(5, 0) & some).join(taught, "doc_id").select("text", "toxic")
+
+    vocabulary = known_words(learned(F.lit(True)))
+    feature, weight = _weights(learned(part > 0), model, vocabulary)
     curve = None
     if len(feature):
         def measure(batches):
@@ -368,12 +388,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
                     x = scorer(data, offsets)
                     yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), column(part, "toxic")], names=["a", "b", "c", "toxic"])
 
-        rows = (learned.filter("part = 0").select("text", "toxic")
-                .mapInArrow(measure, "a double, b double, c double, toxic long")
-                .orderBy("toxic", "a", "b", "c")).toArrow()
-        if len(rows):
-            x = np.stack([rows[c].to_numpy() for c in "abc"], 1)
-            curve = _fitted(x, rows["toxic"].to_numpy().astype(float))
+        measured = scratch(learned(part == 0).mapInArrow(measure, "a double, b double, c double, toxic long"), "measured")
+        if not measured.isEmpty():
+            curve = _fitted(measured, ("a", "b", "c"), "toxic")
+    scratch.remove()
 
     def score(batches):
         scorer = Scorer(model, vocabulary, feature, weight)
