@@ -6,6 +6,8 @@ included, as they are.  So a repeated write leaves what one write leaves.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +36,17 @@ def bucket_of(key: str, buckets: int):
 def values_of(df: DataFrame, column: str) -> list:
     """The distinct values of a partition column: few by the nature of partitions."""
     return sorted(r[0] for r in df.select(column).distinct().collect())
+
+
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own in ``spark.checkpoint.dir``, for what reads it several times; as it is where none is set.
+
+    The folder belongs to the job, whose owner removes it with the job.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
