@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from faultlore.operators import explaining as ex
@@ -32,6 +33,17 @@ def test_explain_table(spark, tmp_path):
     assert rows(written.groupBy("severity", "pattern_id").count()) == rows(expected)
 
 
+def test_explain_table_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Tasks keep a file open for each severity; the setting is as before afterwards."""
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a: (seen.append(int(spark.conf.get(name))), parquet(self, *a))[1])
+    logs = sample_logs(spark.read.parquet(f"{SF}/events.parquet")).limit(50)
+    before = spark.conf.get(name)
+    severities = jobs.explain_table(logs, str(tmp_path / "t")).select("severity").distinct().count()
+    assert len(seen) == 1 and seen[0] > severities > 1 and spark.conf.get(name) == before
+
+
 def test_usage_report(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     report = jobs.usage_report(derived_usage(events), derived_keys(events), str(tmp_path / "u"),
