@@ -37,6 +37,9 @@ CASES = [
     ("ERROR: disk full", "error_code", "DISK"),
     ("answered 404 Not Found", "error_code", "404"),
     ("quit code='x_1'", "error_code", "X_1"),
+    ("xECONNREFUSED or EPIPES, then EPIPE", "error_code", "EPIPE"),
+    ("EPIPE", "error_code", "EPIPE"),
+    ("code: error", "error_code", None),
     ("GET /api/v1/users 200 OK", "http_method", "GET"),
     ("503 Service Unavailable - upstream server not responding", "http_status", "503"),
     ('"HTTP/1.1" 403', "http_status", "403"),
@@ -50,6 +53,7 @@ CASES = [
     ("see app.service now", "extracted_source", "app.service"),
     ("worker-1 | started", "extracted_source", "worker-1"),
     ("(job-7) started", "extracted_source", "job-7"),
+    ("a [b c] (d) e", "extracted_source", "d"),
     ("2026-02-11T10:30:00Z ERROR: something went wrong", "message_body", "ERROR: something went wrong"),
     ("  2026-02-11T10:30:00Z - text \t", "message_body", "text"),
     ("WARN retry at 10:30:00 later", "port", "00"),
@@ -132,3 +136,8 @@ def test_years_follow_from_the_order_of_lines(spark, slices):
         assert [r[0] for r in zoned.collect()] == [1672527599, 1672527600]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_a_code_is_compared_with_level_words_and_not_searched(spark):
+    plan = ps.parse_log_line(spark.createDataFrame([("x",)], "raw_log string")).select("error_code")._jdf.queryExecution().optimizedPlan()
+    assert "regexp_replace" not in plan.toString()
