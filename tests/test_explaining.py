@@ -127,3 +127,14 @@ def test_own_rules(spark):
 def test_null_line(spark):
     got = explain(spark, [None, "SIGABRT"])
     assert [r["pattern_id"] for r in got] == ["unknown", "SYS_PROCESS_CRASH"]
+
+
+def test_projections_are_compiled_by_the_jvm(spark, capsys):
+    """No generated method is beyond the 8,000 bytes up to which the JVM compiles one."""
+    from faultlore.operators.explaining import assess_logs
+
+    logs = spark.createDataFrame([(1, "ERROR a")], "log_id long, raw_log string")
+    capsys.readouterr()
+    assess_logs(logs).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

@@ -141,3 +141,23 @@ def test_years_follow_from_the_order_of_lines(spark, slices):
 def test_a_code_is_compared_with_level_words_and_not_searched(spark):
     plan = ps.parse_log_line(spark.createDataFrame([("x",)], "raw_log string")).select("error_code")._jdf.queryExecution().optimizedPlan()
     assert "regexp_replace" not in plan.toString()
+
+
+def test_fields_at_the_edges_of_words(spark):
+    """Texts that begin a field inside a word, in mixed case or after odd blanks, count as little or as much as ever."""
+    lines = {
+        "xEABCD": {}, "a EABCD z": {"error_code": "EABCD"}, "xERROR CODE: 7a": {"error_code": "7A"},
+        "Err_Code=ab1": {"error_code": "AB1"}, "x123 Not": {}, "123 Not x": {"error_code": "123"},
+        "xcode=a1": {}, "(Code='a1'": {"error_code": "A1"}, "1.2.3.4444": {}, "v1.2.3.4": {}, "é1.2.3.4": {"ip_address": "1.2.3.4"},
+        "export=8080": {}, "PORT　8080": {"port": "8080"}, "xuser=a": {}, "UserName:'b'": {"username": "b"},
+        "HTTP/1.1\" 404": {"http_status": "404"}, "xstatus=404": {}, "Status 404": {"http_status": "404"},
+        "404 not found": {"http_status": "404", "error_code": None}, "xPOST POSTx": {}, "xPID 12 [12]": {"pid": "12"},
+        "[a b] (c)": {"extracted_source": "c"}, "[a) (b]": {}, "91700000000": {}, "at 1700000000.": {"timestamp": "1700000000"},
+    }
+    fields = ("timestamp", "ip_address", "error_code", "port", "username", "http_status", "http_method", "pid", "extracted_source")
+    logs = spark.createDataFrame([(line,) for line in lines], "raw_log string")
+    for row in ps.parse_log_line(logs).collect():
+        for name, value in lines[row["raw_log"]].items():
+            assert row[name] == value, (row["raw_log"], name, row[name])
+        if not lines[row["raw_log"]]:
+            assert [row[f] for f in fields] == [None] * len(fields), row

@@ -46,3 +46,11 @@ def test_required_text_of_odd_regexes():
     assert required_text(r"a1\s+(?:b1|c1)") == [("a1",), ("b1", "c1")]
     assert required_text(r"(?:xx)?yy") == [("yy",)]
     assert required_text(r"(?:aa|\d)zz") == [("zz",)]
+
+
+def test_only_the_rarest_literals_of_a_regex_are_searched_for():
+    """Further literals are looked for in the line itself, where the rarest were found."""
+    from faultlore.operators.matching import _search
+
+    _, marks, _, _ = _search(tuple(BUILTIN_RULES))
+    assert max(n for bucket in marks for n in bucket) <= len(ALL)
