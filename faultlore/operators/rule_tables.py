@@ -61,9 +61,8 @@ def rule_regexes(rules: DataFrame) -> DataFrame:
 
 
 def _pieces(text: Column, length: int) -> Column:
-    """All runs of ``length`` letters, where there is one."""
-    places = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - (length - 1)))
-    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(length)))
+    """All runs of ``length`` letters, found in one pass over the text, however long it is."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
 def rule_index(rules: DataFrame, store: Callable[[DataFrame], DataFrame]) -> RuleIndex:

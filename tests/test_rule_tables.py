@@ -87,3 +87,12 @@ def test_no_rules_and_no_lines(spark, store):
     assert rt.match_rule_table(lines_of(spark, list(LINES.values())), none).count() == 0
     whole = rt.rule_index(read_rules(spark), store)
     assert rt.match_rule_table(lines_of(spark, []), whole).count() == 0 and len(BUILTIN_RULES) == whole.rules.count()
+
+
+def test_pieces_of_a_long_line_in_proportion_to_its_length(spark):
+    lines = lines_of(spark, ["ab", "é\U0001F600abc", "é" + "abcdefgh" * 10_000])
+    pieces = lines.select("log_id", F.array_distinct(rt._pieces(F.col("raw_log"), rt.PIECE)).alias("p"))
+    assert {r[0]: r[1][:2] for r in pieces.filter("log_id < 2").collect()} == {0: [], 1: ["é\U0001F600ab", "\U0001F600abc"]}
+    start = time.monotonic()
+    assert pieces.filter("log_id = 2").select(F.size("p")).first()[0] == 9
+    assert time.monotonic() - start < 8
